@@ -64,13 +64,26 @@ def _count_grams(batches):
 
 
 class Model:
-    """langs, their log prior, and tables item -> row of per-language log frequencies."""
+    """langs, their log prior, and tables item -> row of per-language log frequencies.
+
+    Rows of unseen words are remembered behind the known words' rows, up to BOUND of them, then forgotten.
+    """
 
     BOUND = 300_000
 
     def __init__(self, langs: list[str], prior: np.ndarray, words: dict[str, int], word_rows: np.ndarray, gram_ids: dict[str, int], gram_rows: np.ndarray) -> None:
         self.langs, self.prior, self.words, self.word_rows, self.gram_ids, self.gram_rows = langs, prior, words, word_rows, gram_ids, gram_rows
-        self.seen: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("at", "rows")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at, self.rows = dict(self.words), self.word_rows
 
     def backoff(self, word: str) -> np.ndarray:
         for k in range(LONGEST, 0, -1):
@@ -79,22 +92,33 @@ class Model:
                 return self.gram_rows[found].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
+    def _learn(self, words: list[str]) -> None:
+        if len(self.at) > len(self.words) + self.BOUND:
+            self._forget()
+        for w in words:
+            i = self.at.get(w)
+            if i is None:
+                i = self.at[w] = len(self.at)
+                if i >= len(self.rows):
+                    more = np.empty((max(2 * len(self.rows), 1024), len(self.langs)), np.float32)
+                    more[: len(self.rows)] = self.rows
+                    self.rows = more
+                self.rows[i] = self.backoff(w)
+
     def score(self, word: str) -> np.ndarray:
-        row = self.seen.get(word)
-        if row is None:
-            i = self.words.get(word)
-            row = self.word_rows[i] if i is not None else self.backoff(word)
-            if len(self.seen) < self.BOUND:
-                self.seen[word] = row
-        return row
+        self._learn([word])
+        return self.rows[self.at[word]]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = WORD.findall(text.lower()) if text else []
         if not found or not self.langs:
             return "und", 0.0
-        total = self.prior.astype(np.float64)
-        for word, n in Counter(found).items():
-            total = total + n * self.score(word)
+        try:
+            at = [self.at[w] for w in found]
+        except KeyError:
+            self._learn(found)
+            at = [self.at[w] for w in found]
+        total = self.prior + self.rows[at].sum(axis=0, dtype=np.float64)
         p = np.exp(total - total.max())
         return self.langs[int(total.argmax())], float(1 / p.sum())
 
