@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headlight.llm import langid, media, packing, quality, repair, urlfilter, warc
+from headlight.llm import jaccard, langid, media, packing, quality, repair, urlfilter, warc
 from headlight.llm.common import read, remainder
 
 
@@ -37,6 +37,10 @@ select p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') as verdic
 """
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = media.store(read(spark, sf_dir, "documents"), "doc_id", "text")
     return media.digests(spark.read.parquet(path), "doc_id")
@@ -68,6 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op4_url_filters": op4_url_filters,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_media_columns": op6_media_columns,
     "op7_pattern_packing": op7_pattern_packing,
     "op8_quality_rff": op8_quality_rff,
