@@ -6,7 +6,7 @@ is dropped there. The order is cut into fragments; a candidate pair's overlap is
 
 Candidates come from prefixes: classes A and B, |A| <= |B|, with Jaccard >= t share one of A's first |A| - ceil(2t/(1+t)|A|) + 1
 and one of B's first |B| - ceil(t|B|) + 1 shingles. A class with fewer than t|A| shared shingles has no partner. So that a
-large group of near copies does not make all its pairs, some rounds first compare each class with one member per rare shingle;
+large group of near copies does not make all its pairs, some rounds first compare each class with one member per shingle;
 after them the join pairs only classes that are not yet connected, all of them, so no connection is lost.
 
 The most frequent shingles (at most HOT, a bounded broadcast list) do not go through the blocks, so that no block holds
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headlight.llm.common import components, largest_counts, ready, shingles, table
+from headlight.llm.common import components, largest_counts, ready, shingles, small, table
 
 HOT, HOT_LEAST, FLUSH, BLOCK = 100_000, 64, 1_000_000, 1_000_000
 #: Fragments of the order: up to which number of classes a shingle belongs to each.
@@ -250,15 +250,22 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in cols]).distinct()
 
 
-def links(segments: DataFrame, t: Fraction, rounds: int = 2, lead: int = 4) -> DataFrame:
-    """(class, component) over links of classes that have one; see the module's docstring."""
-    prefix = segments.select("sig", "n", "shared", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("sig", "n", F.col("p.prefix").alias("tok"), F.col("p.places").alias("place"), (F.col("p.places") - F.col("n") + F.col("shared")).alias("nth"))
-    prefix = table(prefix)
+def links(segments: DataFrame, t: Fraction, rounds: int = 4, lead: int = 2, share: int = 16) -> DataFrame:
+    """(class, component) over links of classes that have one; see the module's docstring.
+
+    In each round some shingles of each prefix have a leader: one in `share`, drawn anew by hash, the last `lead` of a prefix
+    and the first that others have. The leader is first the class with the fewest shingles before this one, which is the
+    nearest to what a group shares, and then one at random by shingle and round.
+    """
+    prefix = segments.select("sig", "n", "shared", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("sig", "n", "shared", F.col("p.prefix").alias("tok"), F.col("p.places").alias("place"), (F.col("p.places") - F.col("n") + F.col("shared")).alias("nth"))
+    whole = F.floor((F.col("n") * t.numerator + (t.denominator - 1)) / t.denominator).cast("long")
+    prefix = table(prefix.withColumn("behind", F.col("shared") - whole - F.col("nth")).drop("shared"))
     groups, found = None, None
     for r in range(rounds):
-        some = prefix.where(F.col("nth") < lead)
+        drawn = F.pmod(F.xxhash64("tok", F.lit(r)), F.lit(share)) == 0
+        some = prefix.where(drawn | (F.col("nth") < 1) | (F.col("behind") < lead))
         some = _with_groups(some, groups)
-        leaders = some.groupBy("tok").agg(F.min_by(F.struct("sig", "n", "group"), F.xxhash64("sig", "tok", F.lit(r))).alias("l"), F.min("group").alias("low"), F.max("group").alias("high"))
+        leaders = some.groupBy("tok").agg(F.min_by(F.struct("sig", "n", "group"), F.struct(F.col("place") if r == 0 else F.lit(0), F.xxhash64("sig", "tok", F.lit(r)))).alias("l"), F.min("group").alias("low"), F.max("group").alias("high"))
         leaders = table(leaders.where("low <> high").select("tok", F.col("l.sig").alias("b"), F.col("l.n").alias("nb"), F.col("l.group").alias("gb")))
         pairs = some.join(leaders, "tok").where((F.col("group") != F.col("gb")) & (F.least("n", "nb") * t.denominator >= F.greatest("n", "nb") * t.numerator))
         new = verify(_ordered(pairs.select(F.col("sig").alias("a"), "b", F.col("n").alias("na"), "nb")), segments, t)
@@ -309,3 +316,19 @@ def join(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(3, 4)) -> D
     final = table(classes.join(linked, "sig", "left").select("sig", F.coalesce("smallest", "first_id").alias("component_id")))
     out = rows.join(final, "sig").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out
+
+
+def accept(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
+    """The rows of docs, all columns, that are the smallest id of their component; one row where such a row repeats.
+
+    Rows without an id stay unless they are linked to one with an id.
+    """
+    found = table(join(docs, k, threshold))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = table(found.where(~stays).select(F.col("doc_id").alias("headlight_gone")).distinct())
+    kept = docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("headlight_gone")), "left_anti")
+    again = table(found.where(stays & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("headlight_again")))
+    if again.isEmpty():
+        return kept
+    repeats = F.col("doc_id") == F.col("headlight_again")
+    return kept.join(small(again), repeats, "left_anti").unionByName(kept.join(small(again), repeats, "left_semi").dropDuplicates(["doc_id", "text"]))
