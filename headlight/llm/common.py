@@ -43,6 +43,15 @@ def table(df: DataFrame, compression: str = "lz4") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of up to this many rows of a few numbers each are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 300_000
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows; df should be cheap to count."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -128,10 +137,10 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_words.__getitem__, found), np.uint64, n)
     if n < k:
-        out = np.uint64(n)
-        for x in h:
-            out = mix(np.array([out * np.uint64(ODD[0]) ^ x], np.uint64))[0]
-        return np.array([out], np.uint64)
+        out = np.full(1, n, np.uint64)
+        for i in range(n):
+            out = mix(out * np.uint64(ODD[0]) ^ h[i : i + 1])
+        return out
     total = np.zeros(n - k + 1, np.uint64)
     for i in range(k):
         total = mix(total * np.uint64(ODD[i % 5]) + h[i : n - k + 1 + i])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headlight.llm import jaccard, langid, media, packing, quality, repair, urlfilter, warc
-from headlight.llm.common import read, remainder
+from headlight.llm import decontam, jaccard, langid, lm, media, packing, quality, repair, urlfilter, warc
+from headlight.llm.common import read, remainder, small
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,18 @@ def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
 
 
+def op2_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op3_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target: documents whose label marks them as of good quality."""
+    good = read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").join(small(good), F.col("doc_id") == F.col("good_id"), "left")
+    docs = docs.select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))
+    return lm.score(docs, lm.fit(docs, "target")).drop("text")
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -71,6 +83,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
+    "op2_benchmark_templates": op2_benchmark_templates,
+    "op3_lm_difference": op3_lm_difference,
     "op4_url_filters": op4_url_filters,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_media_columns": op6_media_columns,
