@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation: DataFrame and SQL functions only.
 
 Texts become words; numbers, names (a capital and a small letter after a word, comma or semicolon and spaces) and units become
-the typed placeholders <n>, <p> and <u>. Windows of `size` template words are hash-joined with the benchmark's. Where a
+the typed placeholders <n>, <p> and <u>. Windows of `size` template words are hash-joined with the benchmark's; a text without
+any of the words that a text with so many windows must have (`_anchors`) is not cut into windows. Where a
 matching window has slots, the words behind them are compared along the diagonal of the match: each benchmark value must
 stand for one document value of the same type throughout, else the windows with slots don't count. A document holds an item
 if at least half of the item's windows are found in it.
@@ -13,7 +14,9 @@ items are reported each; extra columns are ignored; an empty table gives an empt
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headlight.llm.common import small, table
@@ -25,6 +28,8 @@ UNITS = (
     "second seconds day days week weeks month months year years dollar dollars euro euros pound pounds cent cents percent "
     "degree degrees liter liters litre litres gallon gallons"
 ).split()
+#: With more different anchor words than this, every text is cut into windows.
+MOST_ANCHORS = 20_000
 NAME, NAMED = r"([\p{L},;] +)(\p{Lu}\p{Ll})", "$1\u0002$2"
 
 
@@ -33,7 +38,7 @@ def words_of(text: Column) -> Column:
     marked = F.regexp_replace(F.regexp_replace(F.translate(text, "\u0002", " "), NAME, NAMED), NAME, NAMED)
     joined = F.regexp_replace(F.lower(marked), r"([0-9])[.,]([0-9])", "$1_$2")
     clean = F.trim(F.regexp_replace(joined, "[^\\p{L}\\p{M}\\p{N}_\u0002]+", " "))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    return F.array_remove(F.split(clean, " "), "")
 
 
 def _template(word: Column) -> Column:
@@ -54,20 +59,52 @@ def _templates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return named.select(key, F.transform("words", _template).alias("template"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, item_id, pos, item_pos, size, slots) of matching windows, (item_id, windows) of all items)."""
+def _anchors(windows: DataFrame, items: DataFrame, share: float) -> tuple[list[str], list[str]] | None:
+    """First words, and pairs, of which a text that holds an item has one; None if a window has no plain pair or they are too many to list.
+
+    A text that holds `share` of an item's windows holds one of any choice of more than the rest. The choice is the windows with the
+    longest adjacent plain words, which are the rarest, and the anchor is that pair.
+    """
+    where = F.col("i").eqNullSafe(F.col("item_id"))
+    inside = windows.join(items.select(F.col("item_id").alias("i"), "template"), where).select("item_id", F.slice("template", F.col("item_pos") + 1, F.col("size")).alias("w"))
+    plain = r"^\p{L}+$"
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(1))), lambda a, b: F.when(a.rlike(plain) & b.rlike(plain), F.struct(F.least(F.length(a), F.length(b)).alias("n"), a.alias("a"), b.alias("b"))))
+    item = Window.partitionBy("item_id")
+    ranked = inside.select("item_id", F.array_max(pairs).alias("l"))
+    ranked = ranked.select("l", F.row_number().over(item.orderBy(F.col("l").desc_nulls_last())).alias("r"), F.count("*").over(item).alias("m"))
+    found = ranked.where(F.col("r") <= F.floor(F.col("m") * F.lit(1 - share)) + 1).select("l.a", "l.b").distinct().limit(MOST_ANCHORS + 1).collect()
+    if len(found) > MOST_ANCHORS or any(r["a"] is None for r in found):
+        return None
+    return sorted({r["a"] for r in found}), sorted(f"{r['a']} {r['b']}" for r in found)
+
+
+def _may_hold(text: Column, anchors: tuple[list[str], list[str]]) -> Column:
+    """Whether a text has one of the anchors' pairs."""
+    plain = F.split(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{M}\\p{N}_]+", " "), " ")
+    after = lambda words: F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(1)))
+    hit = lambda a, b: F.when(a.isin(anchors[0]), F.concat(a, F.lit(" "), b).isin(anchors[1])).otherwise(False)
+    # The words are bound to a lambda's variable, so that they are made once.
+    return F.exists(F.array(plain), lambda words: F.exists(F.zip_with(words, after(words), hit), lambda x: F.coalesce(x, F.lit(False))))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, item_id, pos, item_pos, size, slots) of matching windows of texts that may hold an item, (item_id, windows) of all)."""
     items = table(_templates(benchmark.select("item_id", "text"), "item_id"))
     lengths = sorted({r[0] for r in items.select(F.least(F.size("template"), F.lit(size))).distinct().collect()} - {0})  # at most `size` values
-    texts = _templates(docs.select("doc_id", "text"), "doc_id")
-    of_items, found = None, None
+    bench = []
     for n in lengths:
         mine = _windows(items, "item_id", n, whole=n < size)
         slots = items.select(F.col("item_id").alias("i"), "template")
         slots = mine.join(slots, F.col("i").eqNullSafe(F.col("item_id"))).drop("i")
         slots = slots.withColumn("slots", F.size(F.filter(F.slice("template", F.col("pos") + 1, F.lit(n)), lambda w: w.isin("<n>", "<p>", "<u>")))).drop("template")
-        mine = table(slots.select("item_id", F.col("pos").alias("item_pos"), "window", "slots", F.lit(n).alias("size")).distinct())
+        bench.append(table(slots.select("item_id", F.col("pos").alias("item_pos"), "window", "slots", F.lit(n).alias("size")).distinct()))
+    of_items = reduce(DataFrame.union, bench) if bench else None
+    texts = docs.select("doc_id", "text").where("text is not null")
+    if bench and (anchors := _anchors(of_items, items, share)) is not None:
+        texts = texts.where(_may_hold(F.col("text"), anchors))
+    texts, found = _templates(texts, "doc_id"), None
+    for n, mine in zip(lengths, bench, strict=True):
         pairs = _windows(texts, "doc_id", n, whole=False).join(small(mine), "window").select("doc_id", "item_id", "pos", "item_pos", "size", "slots")
-        of_items = mine if of_items is None else of_items.union(mine)
         found = pairs if found is None else found.union(pairs)
     if found is None:
         spark = docs.sparkSession
@@ -86,7 +123,7 @@ def _slot_rows(df: DataFrame, key: str, where: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: float = 0.5) -> DataFrame:
     """doc_id, item_id, windows found, windows of the item, slots compared, slots changed and kind (verbatim or reparameterised)."""
-    found, of_items = matches(docs, benchmark, size)
+    found, of_items = matches(docs, benchmark, size, share)
     slotted = found.where("slots > 0")
     good = found
     if slotted.isEmpty():
