@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zlib
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -155,11 +156,13 @@ _tokenizers: dict[str, "WordTokenizer"] = {}
 class WordTokenizer:
     """ids of a text as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's pre-tokenizer never joins across ASCII white space, and its normalizer has no context there, so a
-    text's ids are its words' ids in order; words are remembered up to a bound.
+    The vocabulary is lower case, its pre-tokenizer never joins across ASCII white space, and its normalizer has no context
+    there, so a text's ids are its lower-cased words' ids in order; words are remembered up to a bound. Words of ASCII letters
+    go straight to the BPE model, others through the whole tokenizer, many at a time with a special token between them; a text
+    that may hold a special token is encoded by itself.
     """
 
-    BOUND = 300_000
+    BOUND = 500_000
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -167,17 +170,54 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.between = "<|startoftext|>"
+        self.mark = self.tokenizer.token_to_id(self.between)
+        self.model = self.tokenizer.model
+        self.tails = {ord(c): self._ids(c).tobytes() for c in ".,"}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Encodes the words of texts that are not known yet."""
+        found: set[bytes] = set()
+        for x in texts:
+            if x and "<|" not in x:
+                found.update(x.encode().lower().split())
+        todo = [w for w in found if w not in self.known]
+        if len(self.known) + len(todo) > self.BOUND:
+            self.known.clear()
+            todo = list(found)
+        hard, known, one = [], self.known, self.model.tokenize
+        for w in todo:
+            tail = self.tails.get(w[-1], b"")
+            stem = w[:-1] if tail else w
+            if stem.isalpha():  # ASCII letters only: one piece, which the model takes as it is
+                if stem not in known:
+                    known[stem] = array("I", [t.id for t in one(stem.decode())]).tobytes()
+                if tail:
+                    known[w] = known[stem] + tail
+            else:
+                hard.append(w)
+        for at in range(0, len(hard), 5000):
+            part = hard[at : at + 5000]
+            ids = self._ids(self.between.join([w.decode() for w in part]))
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            data, start = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                known[w] = data[4 * start : 4 * end]
+                start = end + 1
 
     def __call__(self, text: str | None) -> bytes:
-        found = text.encode().split() if text else []
+        if not text:
+            return b""
+        if "<|" in text:
+            return self._ids(text).tobytes()
+        found = text.encode().lower().split()
         try:
             return b"".join([self.known[w] for w in found])
         except KeyError:
-            if len(self.known) > self.BOUND:
-                self.known.clear()
-            todo = [w for w in dict.fromkeys(found) if w not in self.known]
-            for w, e in zip(todo, self.tokenizer.encode_batch_fast([x.decode() for x in todo], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.learn([text])
             return b"".join([self.known[w] for w in found])
 
 
@@ -187,6 +227,16 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def encoded(tok: WordTokenizer, batch: pa.RecordBatch, size: int = 500):
+    """(first column, ids as bytes) of each row; new words are learned some hundred rows at a time."""
+    for at in range(0, batch.num_rows, size):
+        part = batch.slice(at, size)
+        texts = part.column(1).to_pylist()
+        tok.learn(texts)
+        for key, text in zip(part.column(0).to_pylist(), texts, strict=True):
+            yield key, tok(text)
+
+
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headlight.llm.common import crc, public_vocabulary, ready, table, tokenizer
+from headlight.llm.common import crc, encoded, public_vocabulary, ready, table, tokenizer
 
 SIZE, END_ID = 2048, 0
 _kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
@@ -37,8 +37,8 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, end
         encode, seen, part = tokenizer(path), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = encode(text.as_py()) + end
+            for doc_id, text in encoded(encode, batch):
+                data = text + end
                 for i, at in enumerate(range(0, len(data), 4 * size)):
                     ids = data[at : at + 4 * size]
                     n = len(ids) // 4

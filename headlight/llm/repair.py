@@ -17,17 +17,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from headlight.llm.common import crc, public_vocabulary, ready, scratch, table, tokenizer
+from headlight.llm.common import crc, encoded, public_vocabulary, ready, scratch, table, tokenizer
 
 END_ID, FIRST_RULE, SYMBOLS = 1, 49_408, 65_536
 SHARD = 1 << 20
 FILE = "part int, shard int, doc_ids array<long>, lengths array<int>, rules binary, expansion binary, symbols binary"
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint32(2654435761)) >> np.uint32(14)
+
+
 def _frequent(seq: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent pairs as 32-bit keys, ascending; and the key at each place."""
     keys = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
-    rough = (keys * np.uint32(2654435761)) >> np.uint32(14)
+    rough = _slot(keys)
     big = np.bincount(rough, minlength=1 << 18) >= least
     found, counts = np.unique(keys[big[rough]], return_counts=True)
     found, counts = found[counts >= least], counts[counts >= least]
@@ -48,12 +52,12 @@ def compress(ids: np.ndarray, passes: int = 6, least: int = 24, first: int = FIR
         found, keys = _frequent(seq, least, max(1, room * 2 // 3) if k + 1 < passes else room)
         if not len(found):
             break
-        member = np.zeros(1 << 18, bool)
-        member[(found * np.uint32(2654435761)) >> np.uint32(14)] = True
-        maybe = np.flatnonzero(member[(keys * np.uint32(2654435761)) >> np.uint32(14)])
-        rank = np.minimum(np.searchsorted(found, keys[maybe]), len(found) - 1)
-        is_pair = found[rank] == keys[maybe]
-        at, rank = maybe[is_pair], rank[is_pair]
+        slot = np.full(1 << 18, -1, np.int32)  # of two pairs in one slot the other waits for a later pass
+        slot[_slot(found)] = np.arange(len(found))
+        rank = slot[_slot(keys)]
+        at = np.flatnonzero(rank >= 0)
+        at = at[found[rank[at]] == keys[at]]
+        rank = rank[at]
         # Of a run of overlapping pairs every second one counts, from its first.
         run = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
         odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) & 1
@@ -114,8 +118,8 @@ def write(docs: DataFrame, vocabulary: str | None = None, path: str | None = Non
         encode, part, number, total = tokenizer(names), TaskContext.get().partitionId(), 0, 0
         ids, sizes, data = [], [], []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = encode(text.as_py()) + end
+            for doc_id, text in encoded(encode, batch):
+                x = text + end
                 ids.append(doc_id)
                 sizes.append(len(x) // 4)
                 data.append(x)
