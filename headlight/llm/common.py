@@ -153,16 +153,20 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
 
+#: Byte-level vocabularies write bytes that are no visible character as the characters from 256 on, in order.
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
 class WordTokenizer:
     """ids of a text as little-endian unsigned 32-bit bytes.
 
     The vocabulary is lower case, its pre-tokenizer never joins across ASCII white space, and its normalizer has no context
-    there, so a text's ids are its lower-cased words' ids in order; words are remembered up to a bound. Words of ASCII letters
-    go straight to the BPE model, others through the whole tokenizer, many at a time with a special token between them; a text
+    there, so a text's ids are its lower-cased words' ids in order; words are remembered up to a bound. Words of Latin-1
+    letters go straight to the BPE model, others through the whole tokenizer, all of a text with a special token between them; a text
     that may hold a special token is encoded by itself.
     """
 
-    BOUND = 500_000
+    BOUND = 1_000_000
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -178,23 +182,20 @@ class WordTokenizer:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, texts: list[str | None]) -> None:
-        """Encodes the words of texts that are not known yet."""
-        found: set[bytes] = set()
-        for x in texts:
-            if x and "<|" not in x:
-                found.update(x.encode().lower().split())
-        todo = [w for w in found if w not in self.known]
-        if len(self.known) + len(todo) > self.BOUND:
-            self.known.clear()
-            todo = list(found)
+    def learn(self, todo: list[bytes]) -> None:
         hard, known, one = [], self.known, self.model.tokenize
         for w in todo:
             tail = self.tails.get(w[-1], b"")
             stem = w[:-1] if tail else w
             if stem.isalpha():  # ASCII letters only: one piece, which the model takes as it is
+                plain = stem.decode()
+            elif (plain := stem.decode()).isalpha() and max(plain) <= "\xff":  # so are Latin-1 letters, by their bytes
+                plain = plain.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+            else:
+                plain = ""
+            if plain:
                 if stem not in known:
-                    known[stem] = array("I", [t.id for t in one(stem.decode())]).tobytes()
+                    known[stem] = array("I", [t.id for t in one(plain)]).tobytes()
                 if tail:
                     known[w] = known[stem] + tail
             else:
@@ -214,11 +215,13 @@ class WordTokenizer:
         if "<|" in text:
             return self._ids(text).tobytes()
         found = text.encode().lower().split()
-        try:
-            return b"".join([self.known[w] for w in found])
-        except KeyError:
-            self.learn([text])
-            return b"".join([self.known[w] for w in found])
+        known = self.known
+        if todo := [w for w in found if w not in known]:
+            if len(known) > self.BOUND:
+                known.clear()
+                todo = found
+            self.learn(todo)
+        return b"".join([known[w] for w in found])
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -227,14 +230,10 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def encoded(tok: WordTokenizer, batch: pa.RecordBatch, size: int = 500):
-    """(first column, ids as bytes) of each row; new words are learned some hundred rows at a time."""
-    for at in range(0, batch.num_rows, size):
-        part = batch.slice(at, size)
-        texts = part.column(1).to_pylist()
-        tok.learn(texts)
-        for key, text in zip(part.column(0).to_pylist(), texts, strict=True):
-            yield key, tok(text)
+def encoded(tok: WordTokenizer, batch: pa.RecordBatch):
+    """(first column, ids as bytes) of each row."""
+    for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        yield key, tok(text.as_py())
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:

@@ -40,7 +40,7 @@ def _frequent(seq: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.nd
     return np.sort(found), keys
 
 
-def compress(ids: np.ndarray, passes: int = 6, least: int = 24, first: int = FIRST_RULE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, passes: int = 5, least: int = 24, first: int = FIRST_RULE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids (below `first`) to (symbols, rules as pairs, expansion length of each rule)."""
     seq = ids.astype(np.uint16)
     rules = np.zeros((0, 2), np.uint16)
