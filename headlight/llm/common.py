@@ -157,13 +157,17 @@ _tokenizers: dict[str, "WordTokenizer"] = {}
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
-class WordTokenizer:
+#: ASCII marks that end a run of letters; not the apostrophe, which may begin a piece with letters.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
+
+class WordTokenizer(dict):
     """ids of a text as little-endian unsigned 32-bit bytes.
 
     The vocabulary is lower case, its pre-tokenizer never joins across ASCII white space, and its normalizer has no context
     there, so a text's ids are its lower-cased words' ids in order; words are remembered up to a bound. Words of Latin-1
-    letters go straight to the BPE model, others through the whole tokenizer, all of a text with a special token between them; a text
-    that may hold a special token is encoded by itself.
+    letters go straight to the BPE model, letters with marks behind them are two such parts, others go through the whole
+    tokenizer; so does a text that may hold a special token.
     """
 
     BOUND = 1_000_000
@@ -172,56 +176,38 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.between = "<|startoftext|>"
-        self.mark = self.tokenizer.token_to_id(self.between)
         self.model = self.tokenizer.model
-        self.tails = {ord(c): self._ids(c).tobytes() for c in ".,"}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def learn(self, todo: list[bytes]) -> None:
-        hard, known, one = [], self.known, self.model.tokenize
-        for w in todo:
-            tail = self.tails.get(w[-1], b"")
-            stem = w[:-1] if tail else w
-            if stem.isalpha():  # ASCII letters only: one piece, which the model takes as it is
-                plain = stem.decode()
-            elif (plain := stem.decode()).isalpha() and max(plain) <= "\xff":  # so are Latin-1 letters, by their bytes
-                plain = plain.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
-            else:
-                plain = ""
-            if plain:
-                if stem not in known:
-                    known[stem] = array("I", [t.id for t in one(plain)]).tobytes()
-                if tail:
-                    known[w] = known[stem] + tail
-            else:
-                hard.append(w)
-        for at in range(0, len(hard), 5000):
-            part = hard[at : at + 5000]
-            ids = self._ids(self.between.join([w.decode() for w in part]))
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-            data, start = ids.tobytes(), 0
-            for w, end in zip(part, ends, strict=True):
-                known[w] = data[4 * start : 4 * end]
-                start = end + 1
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.BOUND:
+            self.clear()
+        stem = word.rstrip(MARKS)
+        if stem.isalpha():
+            plain = stem.decode()
+        elif (plain := stem.decode()).isalpha() and max(plain) <= "\xff":
+            plain = plain.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+        else:
+            plain = ""
+        if not plain:
+            ids = self._ids(word.decode())
+        elif len(stem) < len(word):
+            ids = self[stem] + self[word[len(stem) :]]
+        else:
+            ids = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+        self[word] = ids
+        return ids
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if "<|" in text:
-            return self._ids(text).tobytes()
-        found = text.encode().lower().split()
-        known = self.known
-        if todo := [w for w in found if w not in known]:
-            if len(known) > self.BOUND:
-                known.clear()
-                todo = found
-            self.learn(todo)
-        return b"".join([known[w] for w in found])
+            return self._ids(text)
+        return b"".join(map(self.__getitem__, text.encode().lower().split()))
 
 
 def tokenizer(path: str) -> WordTokenizer:
