@@ -19,12 +19,18 @@ from pyspark.sql.pandas.types import from_arrow_type
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+BATCH_ROWS = 2000
+
+
 def ready(spark: SparkSession) -> None:
     """Lets Python workers import this package where the driver was not started in its folder."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
+    # Whole texts go to Python in batches: fewer rows than Spark's default of 10,000 keep executors' memory low.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def scratch(spark: SparkSession) -> str:
@@ -111,7 +117,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 
-    BOUND = 400_000
+    BOUND = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -134,6 +140,8 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; a shorter text is one shingle; no words, none."""
     found = words(text)
     n = len(found)
+    if _tokenizers:
+        _tokenizers.clear()
     if not n:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_words.__getitem__, found), np.uint64, n)
@@ -170,7 +178,7 @@ class WordTokenizer(dict):
     tokenizer; so does a text that may hold a special token.
     """
 
-    BOUND = 1_000_000
+    BOUND = 600_000
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -211,6 +219,7 @@ class WordTokenizer(dict):
 
 
 def tokenizer(path: str) -> WordTokenizer:
+    _words.clear()  # a reused worker holds one kind of word memory at a time
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]

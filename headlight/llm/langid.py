@@ -21,7 +21,7 @@ from headlight.llm.common import annotate, largest_counts, ready, table
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
-FLUSH = 300_000
+FLUSH = 120_000
 COUNTS = "lang string, item string, n long"
 COUNTS_ARROW = {"lang": pa.string(), "item": pa.string(), "n": pa.int64()}
 
@@ -69,7 +69,7 @@ class Model:
     Rows of unseen words are remembered behind the known words' rows, up to BOUND of them, then forgotten.
     """
 
-    BOUND = 300_000
+    BOUND = 200_000
 
     def __init__(self, langs: list[str], prior: np.ndarray, words: dict[str, int], word_rows: np.ndarray, gram_ids: dict[str, int], gram_rows: np.ndarray) -> None:
         self.langs, self.prior, self.words, self.word_rows, self.gram_ids, self.gram_rows = langs, prior, words, word_rows, gram_ids, gram_rows

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from headlight.llm.common import annotate, largest_counts, ready, table, words
 
-SIZE, STRENGTH, FLUSH = 1024, 32.0, 300_000
+SIZE, STRENGTH, FLUSH = 1024, 32.0, 150_000
 
 
 def _count_words(batches):
