@@ -1,27 +1,39 @@
 """Cross-entropy difference: how much better a target model than a background model predicts each document.
 
-Two interpolated bigram models share one vocabulary (the most frequent words of all documents, the rest is one unknown word),
-order and smoothing. Words are counted over all documents; pairs over all target documents for one model and over all others for
-the other. Only the vocabulary, and with it the broadcast tables of (size + 1) x size losses, is bounded (`size`: a model
-parameter). score = target loss - background loss per token: the lower, the closer to the target.
+Two interpolated bigram models share one vocabulary (all words of the documents they are fitted to, and one unknown word for
+others), order and smoothing. Words and pairs are counted over all target documents for one model and over all others for the
+other. Nothing of the models is collected: counts go by blocks of the key range, and each chunk of documents asks the blocks
+for the counts of its distinct words and pairs. `size` (a model parameter, by default unset) would keep only the most frequent
+words. score = target loss - background loss per token: the lower, the closer to the target.
 
 Null and empty texts have no tokens, null losses and score 0; a null flag counts as background; without target or background
 documents that model is uniform over the vocabulary; repeated rows count as often as they occur; extra columns are ignored; an
-empty table gives an empty result.
+empty table gives an empty result. Words and pairs are compared by 62-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from math import ceil, log2
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from headlight.llm.common import annotate, largest_counts, ready, table, words
+from headlight.llm.common import ODD, largest_counts, mix, ready, table, words
 
-SIZE, STRENGTH, FLUSH = 1024, 32.0, 150_000
+STRENGTH, FLUSH = 32.0, 150_000
+#: Bytes of text by chunk of documents and by block of keys.
+CHUNK, BLOCK = 12 << 20, 16 << 20
+#: The low two bits of a key.
+PAIR, WORD, BEFORE = map(np.uint64, range(3))
+START = np.uint64(0x2545F4914F6CDD1D)
+ASKED = "block long, chunk long, keys binary, t binary, b binary"
+TOLD = "block long, chunk long, t binary, b binary, words long, t_total long, b_total long"
+FIELDS = {"n_tokens": "long", "target_loss": "double", "background_loss": "double", "score": "double"}
 
 
 def _count_words(batches):
@@ -39,7 +51,7 @@ def _count_words(batches):
     yield emit()
 
 
-def vocabulary(docs: DataFrame, size: int = SIZE) -> list[bytes]:
+def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
     """At most size - 1 words: all that are as frequent as the least frequent of them."""
     ready(docs.sparkSession)
     counted = table(docs.select("text").where("text is not null").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
@@ -47,66 +59,181 @@ def vocabulary(docs: DataFrame, size: int = SIZE) -> list[bytes]:
     return sorted(bytes(r["word"]) for r in counted.where(F.col("n") >= least).select("word").collect())
 
 
-class Ids(dict):
-    """word -> id; 0 is the unknown word, `size` the start of a text."""
+class Numbers(dict):
+    """word -> number in order of appearance; with a vocabulary, all other words are the empty word."""
 
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-    def pairs(self, text: str | None, size: int) -> np.ndarray:
-        """before * size + word at each place."""
-        found = words(text)
-        ids = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        return np.concatenate(([size], ids[:-1])) * size + ids if len(ids) else ids
-
-
-def losses(counts: np.ndarray, strength: float = STRENGTH) -> np.ndarray:
-    """-log p of each word (column) after each word (row): pair counts with a prior of `strength` on one-word shares."""
-    size = counts.shape[1]
-    one = (counts.sum(axis=0) + 1.0) / (counts.sum() + size)
-    return -np.log((counts + strength * one) / (counts.sum(axis=1, keepdims=True) + strength)).astype(np.float32)
-
-
-def fit(docs: DataFrame, target: str, size: int = SIZE) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """docs: text and the flag column `target`. Returns vocabulary, target losses and background losses."""
-    vocab = vocabulary(docs, size)
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
-
-    def count(batches):
-        ids = Ids({w: i + 1 for i, w in enumerate(shared.value)})
-        sums = np.zeros((2, (size + 1) * size), np.int64)
-        for batch in batches:
-            for text, flag in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                used, n = np.unique(ids.pairs(text.as_py(), size), return_counts=True)
-                sums[0 if flag else 1][used.astype(np.int64)] += n
-        used = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[0, used]), pa.array(sums[1, used])], names=["pair", "t", "b"])
+    def __init__(self, vocab: frozenset[bytes] | None) -> None:
+        super().__init__()
+        self.vocab = vocab
 
-    got = docs.select("text", target).where("text is not null").mapInArrow(count, "pair int, t long, b long").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
-    out = np.zeros((2, (size + 1) * size))
-    pair = got.column("pair").to_numpy()
-    out[0, pair], out[1, pair] = got.column("t").to_numpy(), got.column("b").to_numpy()
-    return vocab, *(losses(x.reshape(size + 1, size)) for x in out)
-
-
-def score(docs: DataFrame, model: tuple[list[bytes], np.ndarray, np.ndarray]) -> DataFrame:
-    """docs with n_tokens, target_loss, background_loss (per token) and score added."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    made: list[Ids] = []
-
-    def run(texts):
-        vocab, target, background = shared.value
-        if not made:
-            made.append(Ids({w: i + 1 for i, w in enumerate(vocab)}))
+    def __missing__(self, word: bytes) -> int:
+        if self.vocab is not None and word and word not in self.vocab:
+            return self[b""]
+        self[word] = i = len(self)
+        return i
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Little-endian bytes, all first ones first: small numbers compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _plain(data: bytes, kind: type) -> np.ndarray:
+    n = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(n, -1).T).reshape(-1).view(kind)
+
+
+def _key(x: np.ndarray, kind: np.uint64) -> np.ndarray:
+    return x & ~np.uint64(3) | kind
+
+
+class Chunk:
+    """Some texts as numbered words and pairs, and the sorted keys of what occurs in them."""
+
+    def __init__(self, texts: pa.ChunkedArray, vocab: frozenset[bytes] | None) -> None:
+        import xxhash
+
+        numbers, found = Numbers(vocab), []
+        for text in texts:
+            w = words(text.as_py())
+            found.append(np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)))
+        self.lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.word = np.concatenate([*found, np.zeros(0, np.int64)])
+        del found
+        n = self.n_words = len(numbers)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, n)
+        hashes = np.append(hashes, START)
+        self.before = np.concatenate(([n], self.word[:-1])) if len(self.word) else self.word
+        ends = np.cumsum(self.lengths)
+        self.starts = (ends - self.lengths)[self.lengths > 0]
+        self.before[self.starts] = n
+        codes, self.pair = np.unique(self.before * (n + 1) + self.word, return_inverse=True)
+        self.of = codes // (n + 1), codes % (n + 1)
+        pairs = mix(mix(hashes[self.of[0]]) * np.uint64(ODD[0]) + hashes[self.of[1]])
+        keys = np.concatenate([_key(pairs, PAIR), _key(mix(hashes[:n]), WORD), _key(mix(hashes), BEFORE)])
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def counts(self, used: np.ndarray) -> np.ndarray:
+        """Of each key over the documents that are used."""
+        at = np.repeat(used, self.lengths)
+        n = self.n_words
+        parts = [(self.pair, len(self.of[0])), (self.word, n), (self.before, n + 1)]
+        return np.concatenate([np.bincount(x[at], minlength=m) for x, m in parts])[self.order].astype(np.uint32)
+
+    def losses(self, told: np.ndarray, total: int, size: int, strength: float = STRENGTH) -> np.ndarray:
+        """-log p of each distinct pair: pair counts with a prior of `strength` on one-word shares."""
+        n, m = self.n_words, len(self.of[0])
+        c = np.empty(len(self.order))
+        c[self.order] = told
+        one = (c[m : m + n] + 1.0) / (total + size)
+        return -np.log((c[:m] + strength * one[self.of[1]]) / (c[m + n :][self.of[0]] + strength))
+
+    def means(self, losses: np.ndarray) -> np.ndarray:
+        """Per text that has tokens."""
+        return np.add.reduceat(losses[self.pair], self.starts) / self.lengths[self.lengths > 0] if len(self.starts) else np.zeros(0)
+
+
+class Model(NamedTuple):
+    vocab: list[bytes] | None
+    docs: DataFrame
+    target: str
+    size: int | None
+
+
+def fit(docs: DataFrame, target: str, size: int | None = None) -> Model:
+    """docs: text and the flag column `target`. Counts are made when texts are scored, by all executors."""
+    return Model(None if size is None else vocabulary(docs, size), docs, target, size)
+
+
+def _asked(docs: DataFrame, bits: int, vocab, target: str | None, asks: bool) -> DataFrame:
+    """The distinct keys of each chunk by block: with counts if there is a target, and with the chunk if it asks for them."""
+
+    def run(key, group):
+        chunk = Chunk(group.column("text"), vocab.value)
+        block = (chunk.keys >> np.uint64(64 - bits)).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        t = b = None
+        if target is not None:
+            flags = np.array([x is True for x in group.column("target").to_pylist()], bool)
+            t, b = chunk.counts(flags), chunk.counts(~flags)
         rows = []
-        for x in texts:
-            pairs = made[0].pairs(x, target.shape[1])
-            if len(pairs):
-                a, b = (float(m.ravel()[pairs].mean(dtype=np.float64)) for m in (target, background))
-                rows.append((len(pairs), a, b, a - b))
-            else:
-                rows.append((0, None, None, 0.0))
-        return list(zip(*rows, strict=True)) or [[]] * 4
-
-    kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-    return annotate(docs, "text", dict(zip(("n_tokens", "target_loss", "background_loss", "score"), kinds, strict=True)), run)
+        for i, j in zip(cuts, cuts[1:]):
+            deltas = np.diff(chunk.keys[i:j], prepend=np.uint64(0))
+            rows.append((int(block[i]), key[0].as_py() if asks else None, _planes(deltas), *(None if x is None else _planes(x[i:j]) for x in (t, b))))
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 2 + [pa.binary()] * 3, strict=True)], names=["block", "chunk", "keys", "t", "b"])
+
+    few = docs.where("text is not null").select("headlight_chunk", "text", *([] if target is None else [F.col(target).alias("target")]))
+    return few.groupBy("headlight_chunk").applyInArrow(run, ASKED)
+
+
+def _tell(key, group):
+    """The counts of one block's keys summed over all chunks and told to each that asks; and the block's totals."""
+    asks = group.column("chunk").to_pylist()
+    keys = [np.cumsum(_plain(x.as_py(), np.uint64), dtype=np.uint64) for x in group.column("keys")]
+    ends = np.cumsum([len(x) for x in keys])
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.zeros((2, len(found)), np.int64)
+    for i, end in enumerate(ends):
+        where = at[end - len(keys[i]) : end]
+        for k, name in enumerate(("t", "b")):
+            if (x := group.column(name)[i].as_py()) is not None:
+                np.add.at(sums[k], where, _plain(x, np.uint32).astype(np.int64))
+    counted = sums.any(axis=0) & (found & np.uint64(3) == WORD)
+    block, rows = key[0].as_py(), []
+    for i, end in enumerate(ends):
+        if asks[i] is not None:
+            where = at[end - len(keys[i]) : end]
+            rows.append((block, asks[i], _planes(sums[0, where]), _planes(sums[1, where]), None, None, None))
+    rows.append((block, None, None, None, int(counted.sum()), int(sums[0, counted].sum()), int(sums[1, counted].sum())))
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in TOLD.split(", ")])
+
+
+def _chunked(docs: DataFrame, size: int) -> DataFrame:
+    """docs with headlight_chunk, drawn by the row's values, so that a second scan gives the same chunks."""
+    values = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return docs.withColumn("headlight_chunk", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in values)), F.lit(max(1, ceil(size / CHUNK)))))
+
+
+def _bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with n_tokens, target_loss, background_loss (per token) and score added."""
+    ready(docs.sparkSession)
+    vocab = docs.sparkSession.sparkContext.broadcast(None if model.vocab is None else frozenset(model.vocab))
+    own, n = model.docs is docs, _bytes(docs)
+    n_fit = n if own else _bytes(model.docs)
+    bits = max(1, ceil(log2(max(1, max(n, n_fit) / BLOCK))))
+    chunked = _chunked(docs, n)
+    asked = _asked(chunked, bits, vocab, model.target if own else None, True)
+    if not own:
+        asked = asked.union(_asked(_chunked(model.docs, n_fit), bits, vocab, model.target, False))
+    told = table(asked.groupBy("block").applyInArrow(_tell, TOLD), "zstd")
+    sums = told.agg(F.sum("words"), F.sum("t_total"), F.sum("b_total")).first()
+    n_words, *totals = (x or 0 for x in sums)
+    size = n_words + 1 if model.size is None else model.size
+
+    rest = chunked.drop(*FIELDS)
+    names = [c for c in rest.columns if c != "headlight_chunk"]
+
+    def run(group, replies):
+        chunk = Chunk(group.column("text"), vocab.value)
+        some = chunk.lengths > 0
+        replies = replies.sort_by("block")
+        cols = []
+        for name, total in zip(("t", "b"), totals, strict=True):
+            losses = np.zeros(len(group))
+            if some.any():
+                counts = np.concatenate([_plain(x.as_py(), np.int64) for x in replies.column(name)])
+                losses[some] = chunk.means(chunk.losses(counts, total, size))
+            cols.append(losses)
+        added = [pa.array(chunk.lengths), *(pa.array(x, mask=~some) for x in cols), pa.array(cols[0] - cols[1])]
+        return pa.table([*(group.column(c) for c in names), *added], names=[*names, *FIELDS])
+
+    schema = T.StructType([*rest.select(*(f"`{c}`" for c in names)).schema.fields, *(T.StructField(k, T.LongType() if t == "long" else T.DoubleType()) for k, t in FIELDS.items())])
+    replies = told.where("chunk is not null").select("chunk", "block", "t", "b")
+    return rest.groupBy("headlight_chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)

@@ -53,3 +53,32 @@ def test_empty(spark):
     none = fixtures.empty(docs)
     assert lm.score(docs, lm.fit(none, "flag")).count() == docs.count()
     assert lm.score(none, lm.fit(docs, "flag")).count() == 0
+
+
+def test_no_word_is_unknown(spark):
+    """Texts that differ only in rare words differ in loss, as a brute-force model of all words says; unseen words score too."""
+    common = [(i, " ".join(f"w{j}" for j in range(1100)), i == 0) for i in range(2)]
+    rare = [(2, "w1 rare w2", True), (3, "w1 other w2", False), (4, "w1 third w2", False), (5, "w1 third w2", None)]
+    docs = spark.createDataFrame(common + rare, "doc_id long, text string, flag boolean")
+    model = lm.fit(docs, "flag")
+    counts, starts = [Counter(), Counter()], [Counter(), Counter()]
+    word, vocab = [Counter(), Counter()], set()
+    for _, t, flag in common + rare:
+        w, k = t.split(), 0 if flag else 1
+        vocab.update(w)
+        counts[k].update(zip([None, *w[:-1]], w, strict=True))
+        starts[k].update([None, *w[:-1]])
+        word[k].update(w)
+    size = len(vocab) + 1
+
+    def brute(t, k):
+        w = t.split()
+        one = lambda b: (word[k][b] + 1) / (sum(word[k].values()) + size)
+        return sum(-log((counts[k][a, b] + 32 * one(b)) / (starts[k][a] + 32)) for a, b in zip([None, *w[:-1]], w, strict=True)) / len(w)
+
+    got = {r["doc_id"]: r for r in lm.score(docs, model).collect()}
+    assert len({got[i]["background_loss"] for i in (2, 3, 4)}) == 3 and got[4]["score"] == got[5]["score"]
+    fresh = spark.createDataFrame([(9, "w1 unseen w2"), (10, "w1 rare w2")], "doc_id long, text string")
+    got |= {r["doc_id"]: r for r in lm.score(fresh, model).collect()}
+    for i, t in [(i, t) for i, t, _ in common + rare] + [(9, "w1 unseen w2"), (10, "w1 rare w2")]:
+        assert np.allclose([got[i]["target_loss"], got[i]["background_loss"]], [brute(t, 0), brute(t, 1)], atol=1e-9)
