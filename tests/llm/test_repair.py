@@ -33,3 +33,12 @@ def test_files_of_documents(spark):
         got = repair.read(spark, repair.write(docs, shard=shard)).collect()
         assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"])) for r in got)
     assert repair.read(spark, repair.write(fixtures.empty(docs))).count() == 0
+
+
+def test_goes_on_until_no_pair_is_worth_a_rule():
+    rng = np.random.default_rng(6)
+    for ids in (rng.zipf(1.3, 200_000) % 3_000, np.tile(rng.integers(0, 49_408, 97), 200), np.repeat(rng.integers(0, 49_408, 4_000), 5)):
+        symbols, rules, lengths = repair.compress(ids)
+        assert (repair.Grammar(rules, lengths).expand(symbols) == ids).all()
+        pairs = np.unique(symbols[:-1].astype(np.int64) << 16 | symbols[1:], return_counts=True)[1]
+        assert len(rules) == repair.SYMBOLS - repair.FIRST_RULE or pairs.max(initial=0) < 4
