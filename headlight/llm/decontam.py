@@ -152,6 +152,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: float =
 
 
 def accept(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, that hold no item of the benchmark."""
-    held = table(find(docs, benchmark, size, share).select(F.col("doc_id").alias("headlight_held")).distinct())
-    return docs.join(small(held), F.col("doc_id").eqNullSafe(F.col("headlight_held")), "left_anti")
+    """The rows of docs, all columns, that hold no item of the benchmark; null and repeated ids are decided by row."""
+    row = F.xxhash64("doc_id", "text")
+    held = table(find(docs.select(row.alias("doc_id"), "text"), benchmark, size, share).select(F.col("doc_id").alias("headlight_held")).distinct())
+    return docs.join(small(held), row == F.col("headlight_held"), "left_anti")

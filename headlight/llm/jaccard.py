@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headlight.llm.common import components, largest_counts, ready, shingles, small, table
+from headlight.llm.common import annotate, components, largest_counts, ready, shingles, small, table
 
 HOT, HOT_LEAST, FLUSH, BLOCK = 100_000, 64, 1_000_000, 1_000_000
 #: Fragments of the order: up to which number of classes a shingle belongs to each.
@@ -292,6 +292,11 @@ def _with_groups(prefix: DataFrame, groups: DataFrame | None) -> DataFrame:
 
 def join(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
+    return _join(docs, k, threshold)[0].drop("sig", "group")
+
+
+def _join(docs: DataFrame, k: int, threshold: Fraction) -> tuple[DataFrame, int]:
+    """The join with the class and its group of linked classes, and the seed of the classes."""
     spark = docs.sparkSession
     ready(spark)
     for seed in range(8):
@@ -312,23 +317,34 @@ def join(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(3, 4)) -> D
     groups = links(segments, threshold)
     grouped = table(classes.join(groups.withColumnRenamed("id", "sig"), "sig").select("sig", "component", "first_id"))
     smallest = table(grouped.groupBy("component").agg(F.min("first_id").alias("smallest")))
-    linked = grouped.join(smallest, "component").select("sig", "smallest")
-    final = table(classes.join(linked, "sig", "left").select("sig", F.coalesce("smallest", "first_id").alias("component_id")))
-    out = rows.join(final, "sig").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out
+    linked = grouped.join(smallest, "component").select("sig", "smallest", "component")
+    final = table(classes.join(linked, "sig", "left").select("sig", F.coalesce("smallest", "first_id").alias("component_id"), F.coalesce("component", "sig").alias("group")))
+    out = rows.join(final, "sig").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "sig", "group")
+    return out, seed
 
 
 def accept(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
     """The rows of docs, all columns, that are the smallest id of their component; one row where such a row repeats.
 
-    Rows without an id stay unless they are linked to one with an id.
+    Rows without an id stay unless they are linked to one with an id. Rows with a null or repeated id are decided one by one.
     """
-    found = table(join(docs, k, threshold))
+    found, seed = _join(docs, k, threshold)
+    found = table(found)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = table(found.where(~stays).select(F.col("doc_id").alias("headlight_gone")).distinct())
-    kept = docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("headlight_gone")), "left_anti")
-    again = table(found.where(stays & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("headlight_again")))
-    if again.isEmpty():
-        return kept
+    again = table(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("headlight_again")))
     repeats = F.col("doc_id") == F.col("headlight_again")
-    return kept.join(small(again), repeats, "left_anti").unionByName(kept.join(small(again), repeats, "left_semi").dropDuplicates(["doc_id", "text"]))
+    gone = table(found.where(~stays & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("headlight_gone")).distinct())
+    none, nulls = again.isEmpty(), not found.where("doc_id is null").isEmpty()
+    once = docs.where("doc_id is not null") if none else docs.where("doc_id is not null").join(small(again), repeats, "left_anti")
+    kept = once.join(small(gone), F.col("doc_id") == F.col("headlight_gone"), "left_anti")
+    if none and not nulls:
+        return kept
+    odd = docs.where("doc_id is null")
+    if not none:
+        odd = odd.unionByName(docs.join(small(again), repeats, "left_semi"))
+    odd = annotate(odd, "text", {"headlight_sig": pa.int64()}, lambda texts: [[_signed(_signature(shingles(x, k), seed)[0]) for x in texts]])
+    stay = found.where(stays).select(F.col("doc_id").alias("headlight_id"), F.col("sig").alias("headlight_of"), F.col("group").alias("headlight_group"), (F.col("n_shingles") > 0).alias("headlight_any")).distinct()
+    odd = odd.join(stay, F.col("headlight_id").eqNullSafe(F.col("doc_id")) & (F.col("headlight_of") == F.col("headlight_sig")))
+    odd = odd.withColumn("headlight_text", F.when(~F.col("headlight_any"), F.col("text")))
+    one = odd.where("doc_id is not null").dropDuplicates(["doc_id", "headlight_group", "headlight_text"])
+    return kept.unionByName(odd.where("doc_id is null").unionByName(one).select(*(F.col(f"`{c}`") for c in docs.columns)))

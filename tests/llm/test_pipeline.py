@@ -47,3 +47,15 @@ def test_odd_rows(spark):
     model = langid.fit(docs.where(remainder("doc_id", 3) != 1))
     assert {r["doc_id"] for r in langid.accept(docs, model).collect()}.isdisjoint({9001, 9002, 9003})
     assert quality.accept(docs, quality.fit(quality.features(docs).withColumn("label", F.lit(1)))).count() == docs.count()
+
+
+def test_null_and_repeated_ids_are_decided_by_row(spark):
+    text = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    rows = [(1, text("a")), (None, text("a")), (None, text("b")), (7, text("a")), (7, text("c")), (7, text("d")), (7, text("d") + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"].removesuffix(" end")) for r in jaccard.accept(docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, text("a")), (None, text("b")), (7, text("c")), (7, text("d"))]))
+    item = spark.read.parquet(f"{fixtures.SF}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(None, item), (None, text("b")), (7, item), (7, text("c"))], "doc_id long, text string")
+    kept = decontam.accept(docs, spark.read.parquet(f"{fixtures.SF}/benchmark.parquet")).collect()
+    assert sorted(r["text"] for r in kept) == [text("b"), text("c")]
