@@ -1,21 +1,22 @@
 """Benchmark decontamination by template canonicalisation: DataFrame and SQL functions only.
 
-Texts become words; numbers, names (a capital and a small letter after a word, comma or semicolon and spaces) and units become
-the typed placeholders <n>, <p> and <u>. Windows of `size` template words are hash-joined with the benchmark's; a text without
-any of the words that a text with so many windows must have (`_anchors`) is not cut into windows. Where a
-matching window has slots, the words behind them are compared along the diagonal of the match: each benchmark value must
-stand for one document value of the same type throughout, else the windows with slots don't count. A document holds an item
-if at least half of the item's windows are found in it.
-
-An item with fewer words than `size` is one window of all its words. Null and empty texts have no windows; items without
-words match nothing; repeated rows and rows that share an id are reported together under the id (null ids under null); equal
-items are reported each; extra columns are ignored; an empty table gives an empty result. Windows are compared by 64-bit hash.
+Texts become words; numbers (digits and English number words), names (a capital and a small letter after a word, comma or
+semicolon and spaces) and units become the typed placeholders <n>, <p> and <u>. Windows of `size` template words are hash-joined
+with the benchmark's; a text without any of the words that a text with so many windows must have (`_anchors`) is not cut into
+windows. A window with slots and fewer plain words than half of `size` says too little: it must match word by word. Other windows
+with slots count by chains, windows that follow one another in text and item alike: throughout a chain each benchmark value must
+stand for one document value, and each name for one name. A row holds an item if its matches without slots and those of its best
+consistent chain are at least half of the item's windows.
+
+An item with fewer words than `size` is one window of all its words, so an item of one word is found in every text with that word.
+A capital that begins a sentence is not told from a name, so such names must match. Null and empty texts have no windows; items
+without words match nothing; rows are judged one by one, and of rows that share an id the one that holds most is reported (null ids
+under null); equal items with different ids are reported each; extra columns are ignored; an empty table gives an empty result.
+Rows, items and windows are compared by 64-bit hash.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,12 @@ UNITS = (
     "second seconds day days week weeks month months year years dollar dollars euro euros pound pounds cent cents percent "
     "degree degrees liter liters litre litres gallon gallons"
 ).split()
-#: With more different anchor words than this, every text is cut into windows.
+#: Words that count as numbers.
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
+    "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
+#: With more different anchor words than this, every text is cut into windows; the result is the same.
 MOST_ANCHORS = 20_000
 NAME, NAMED = r"([\p{L},;] +)(\p{Lu}\p{Ll})", "$1\u0002$2"
 
@@ -43,39 +49,63 @@ def words_of(text: Column) -> Column:
 
 def _template(word: Column) -> Column:
     first = F.substring(word, 1, 1)
-    return F.when(first.between("0", "9"), F.lit("<n>")).when(first == "\u0002", F.lit("<p>")).when(word.isin(UNITS), F.lit("<u>")).otherwise(word)
+    number = first.between("0", "9") | word.isin(NUMBERS)
+    return F.when(number, F.lit("<n>")).when(first == "\u0002", F.lit("<p>")).when(word.isin(UNITS), F.lit("<u>")).otherwise(word)
+
 
+def _is_slot(template: Column) -> Column:
+    return template.isin("<n>", "<p>", "<u>")
 
-def _windows(df: DataFrame, key: str, size: int, whole: bool) -> DataFrame:
-    """(key, pos, window): hashes of `size` template words from each place; whole: only texts of exactly that many words."""
+
+def _windows(df: DataFrame, size: int) -> DataFrame:
+    """row, doc_id and pos and hash of `size` template words from each place."""
     n = F.size("template")
-    fits = df.where(n == size) if whole else df.where(n >= size)
     hashed = F.transform(F.sequence(F.lit(1), n - F.lit(size - 1)), lambda i: F.xxhash64(F.slice("template", i, F.lit(size))))
-    return fits.select(key, F.posexplode(hashed).alias("pos", "window"))
+    return df.where(n >= size).select("row", "doc_id", F.posexplode(hashed).alias("pos", "window"))
+
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item (a hash of the row), item_id, words and template of each different item."""
+    rows = benchmark.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").where("text is not null").dropDuplicates(["item"])
+    rows = rows.select("item", "item_id", F.col("text").rlike(r"^[^\p{L}\p{M}\p{N}_]*\p{Lu}\p{Ll}").alias("capital"), words_of(F.col("text")).alias("words"))
+    return rows.withColumn("template", F.transform("words", _template)).where(F.size("words") > 0)
 
-def _templates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    named = df.where(F.col(text).isNotNull()).select(F.col(key), words_of(F.col(text)).alias("words"))
-    return named.select(key, F.transform("words", _template).alias("template"))
 
+def _bare(words: str) -> Column:
+    return F.transform(words, lambda w: F.translate(w, "\u0002", ""))
 
-def _anchors(windows: DataFrame, items: DataFrame, share: float) -> tuple[list[str], list[str]] | None:
-    """First words, and pairs, of which a text that holds an item has one; None if a window has no plain pair or they are too many to list.
+
+def _item_windows(items: DataFrame, size: int) -> DataFrame:
+    """item, size, item_pos, slots, strict, the window's hash and its longest adjacent plain words of each window of each item."""
+    n = F.least(F.size("template"), F.lit(size))
+    at = items.select("item", "capital", "words", "template", n.alias("size"), F.explode(F.sequence(F.lit(0), F.size("template") - n)).alias("item_pos"))
+    at = at.select("item", "capital", "size", "item_pos", *(F.slice(c, F.col("item_pos") + 1, F.col("size")).alias(c) for c in ("words", "template")))
+    # Behind other words a capital at the item's beginning is a name.
+    named = at.where(F.col("capital") & (F.col("item_pos") == 0) & ~_is_slot(F.col("template")[0]))
+    at = at.union(named.withColumn("template", F.concat(F.array(F.lit("<p>")), F.slice("template", F.lit(2), F.greatest(F.col("size") - 1, F.lit(1))))))
+    at = at.withColumn("slots", F.size(F.filter("template", _is_slot)))
+    at = at.withColumn("strict", (F.col("slots") > 0) & (F.col("size") - F.col("slots") < size // 2))
+    plain, after = r"^\p{L}+$", F.slice("template", F.lit(2), F.greatest(F.size("template") - 1, F.lit(1)))
+    pairs = F.zip_with("template", after, lambda a, b: F.when(a.rlike(plain) & b.rlike(plain), F.struct(F.least(F.length(a), F.length(b)).alias("n"), a.alias("a"), b.alias("b"))))
+    window = F.when(F.col("strict"), F.xxhash64(_bare("words"))).otherwise(F.xxhash64("template"))
+    return at.select("item", "size", "item_pos", F.when(F.col("strict"), 0).otherwise(F.col("slots")).alias("slots"), "strict", window.alias("window"), F.array_max(pairs).alias("pair"))
+
+
+def _anchors(windows: DataFrame, share: float) -> tuple[DataFrame, tuple[list[str], list[str]] | None]:
+    """(item, anchored) and the first words, and pairs, of which a text that holds an anchored item has one; None if they are too many to list.
 
     A text that holds `share` of an item's windows holds one of any choice of more than the rest. The choice is the windows with the
-    longest adjacent plain words, which are the rarest, and the anchor is that pair.
+    longest adjacent plain words, which are the rarest, and the anchor is that pair. An item with a chosen window without a pair has no anchor.
     """
-    where = F.col("i").eqNullSafe(F.col("item_id"))
-    inside = windows.join(items.select(F.col("item_id").alias("i"), "template"), where).select("item_id", F.slice("template", F.col("item_pos") + 1, F.col("size")).alias("w"))
-    plain = r"^\p{L}+$"
-    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(1))), lambda a, b: F.when(a.rlike(plain) & b.rlike(plain), F.struct(F.least(F.length(a), F.length(b)).alias("n"), a.alias("a"), b.alias("b"))))
-    item = Window.partitionBy("item_id")
-    ranked = inside.select("item_id", F.array_max(pairs).alias("l"))
-    ranked = ranked.select("l", F.row_number().over(item.orderBy(F.col("l").desc_nulls_last())).alias("r"), F.count("*").over(item).alias("m"))
-    found = ranked.where(F.col("r") <= F.floor(F.col("m") * F.lit(1 - share)) + 1).select("l.a", "l.b").distinct().limit(MOST_ANCHORS + 1).collect()
-    if len(found) > MOST_ANCHORS or any(r["a"] is None for r in found):
-        return None
-    return sorted({r["a"] for r in found}), sorted(f"{r['a']} {r['b']}" for r in found)
+    item = Window.partitionBy("item")
+    windows = windows.groupBy("item", "item_pos").agg(F.min("pair").alias("pair"))  # of both forms of a first window the one that both have
+    ranked = windows.select("item", "pair", F.row_number().over(item.orderBy(F.col("pair").desc_nulls_last(), "item_pos")).alias("r"), F.count("*").over(item).alias("m"))
+    chosen = ranked.where(F.col("r") <= F.floor(F.col("m") * F.lit(1 - share)) + 1)
+    anchored = table(chosen.groupBy("item").agg(F.bool_and(F.col("pair").isNotNull()).alias("anchored")))
+    found = chosen.join(anchored.where("anchored").select("item"), "item").select("pair.a", "pair.b").distinct().limit(MOST_ANCHORS + 1).collect()
+    if len(found) > MOST_ANCHORS:
+        return anchored, None
+    return anchored, (sorted({r["a"] for r in found}), sorted(f"{r['a']} {r['b']}" for r in found))
 
 
 def _may_hold(text: Column, anchors: tuple[list[str], list[str]]) -> Column:
@@ -87,67 +117,84 @@ def _may_hold(text: Column, anchors: tuple[list[str], list[str]]) -> Column:
     return F.exists(F.array(plain), lambda words: F.exists(F.zip_with(words, after(words), hit), lambda x: F.coalesce(x, F.lit(False))))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, item_id, pos, item_pos, size, slots) of matching windows of texts that may hold an item, (item_id, windows) of all)."""
-    items = table(_templates(benchmark.select("item_id", "text"), "item_id"))
-    lengths = sorted({r[0] for r in items.select(F.least(F.size("template"), F.lit(size))).distinct().collect()} - {0})  # at most `size` values
-    bench = []
-    for n in lengths:
-        mine = _windows(items, "item_id", n, whole=n < size)
-        slots = items.select(F.col("item_id").alias("i"), "template")
-        slots = mine.join(slots, F.col("i").eqNullSafe(F.col("item_id"))).drop("i")
-        slots = slots.withColumn("slots", F.size(F.filter(F.slice("template", F.col("pos") + 1, F.lit(n)), lambda w: w.isin("<n>", "<p>", "<u>")))).drop("template")
-        bench.append(table(slots.select("item_id", F.col("pos").alias("item_pos"), "window", "slots", F.lit(n).alias("size")).distinct()))
-    of_items = reduce(DataFrame.union, bench) if bench else None
-    texts = docs.select("doc_id", "text").where("text is not null")
-    if bench and (anchors := _anchors(of_items, items, share)) is not None:
-        texts = texts.where(_may_hold(F.col("text"), anchors))
-    texts, found = _templates(texts, "doc_id"), None
-    for n, mine in zip(lengths, bench, strict=True):
-        pairs = _windows(texts, "doc_id", n, whole=False).join(small(mine), "window").select("doc_id", "item_id", "pos", "item_pos", "size", "slots")
+def matches(docs: DataFrame, items: DataFrame, windows: DataFrame, share: float = 0.5) -> DataFrame | None:
+    """(row, doc_id, item, pos, item_pos, size, slots) of the matching windows of rows that may hold an item; row is a hash of id and text."""
+    anchored, anchors = _anchors(windows, share)
+    windows = table(windows.join(anchored, "item").drop("pair"))
+    kinds = sorted(tuple(r) for r in windows.select("size", "strict", "anchored").distinct().collect())  # at most 4 x `size` rows
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").where("text is not null")
+    found = None
+    for size, strict, has_anchor in kinds:
+        some = texts
+        if has_anchor and anchors is not None:
+            some = texts.where(_may_hold(F.col("text"), anchors))
+        some = some.select("row", "doc_id", words_of(F.col("text")).alias("words"))
+        some = some.select("row", "doc_id", (_bare("words") if strict else F.transform("words", _template)).alias("template"))
+        mine = windows.where((F.col("size") == size) & (F.col("strict") == strict) & (F.col("anchored") == has_anchor)).select("item", "item_pos", "window", "slots", "size")
+        pairs = _windows(some, size).join(small(mine), "window").select("row", "doc_id", "item", "pos", "item_pos", "size", "slots")
         found = pairs if found is None else found.union(pairs)
-    if found is None:
-        spark = docs.sparkSession
-        kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-        return spark.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, pos int, item_pos int, size int, slots int"), spark.createDataFrame([], f"item_id {kinds[1]}, windows long")
-    return table(found), of_items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("windows"))
+    return None if found is None else table(found.distinct())
+
+
+def _slots(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """(key, at, value, type) of the slots of the rows of df (key, words) whose key is in ids."""
+    some = df.join(small(table(ids.select(key).distinct())), key, "left_semi").select(key, F.posexplode("words").alias("at", "value"))
+    return some.withColumn("type", _template(F.col("value"))).where(_is_slot(F.col("type")))
+
 
+def _chains(slotted: DataFrame) -> DataFrame:
+    """slotted with the chain of each window: windows that follow one another in the text and in the item alike, across insertions.
 
-def _slot_rows(df: DataFrame, key: str, where: DataFrame) -> DataFrame:
-    """(key, at, value, type) of the slots of the texts with an id in `where`."""
-    ids = where.select(F.col(key).alias("k")).distinct()
-    some = df.join(small(table(ids)), F.col(key).eqNullSafe(F.col("k")), "left_semi")
-    words = some.where("text is not null").select(key, F.posexplode(words_of(F.col("text"))).alias("at", "value"))
-    return words.withColumn("type", _template(F.col("value"))).where(F.col("type").isin("<n>", "<p>", "<u>"))
+    A place of the text that fits several places of the item goes with the diagonal that has most windows (then the first).
+    """
+    text = Window.partitionBy("row", "item").orderBy("pos")
+    d = slotted.withColumn("shift", F.col("pos") - F.col("item_pos"))
+    d = d.withColumn("n", F.count("*").over(Window.partitionBy("row", "item", "shift")))
+    d = d.withColumn("r", F.row_number().over(Window.partitionBy("row", "item", "pos").orderBy(F.desc("n"), "shift"))).where("r = 1")
+    back = F.coalesce(F.lag("item_pos").over(text) >= F.col("item_pos"), F.lit(False)).cast("int")
+    return d.withColumn("back", back).withColumn("chain", F.sum("back").over(text)).drop("shift", "n", "r", "back")
+
+
+def _best_chains(docs: DataFrame, items: DataFrame, slotted: DataFrame) -> DataFrame:
+    """row, item, windows, slots and changed slots of the consistent chain with most windows."""
+    chains = table(_chains(slotted))
+    span = chains.select("row", "item", "chain", F.explode(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.struct((F.col("item_pos") + i).alias("item_at"), (F.col("pos") + i).alias("at")))).alias("x"))
+    span = span.select("row", "item", "chain", "x.item_at", "x.at").distinct()
+    a = _slots(items.select("item", "words"), "item", slotted).select("item", F.col("at").alias("item_at"), F.col("value").alias("item_value"), "type")
+    rows = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), "text")
+    rows = rows.join(small(table(slotted.select("row").distinct())), "row", "left_semi").dropDuplicates(["row"]).select("row", words_of(F.col("text")).alias("words"))
+    b = _slots(rows, "row", slotted).select("row", "at", "value")
+    key = ["row", "item", "chain"]
+    pairs = table(span.join(small(table(a)), ["item", "item_at"]).join(b, ["row", "at"]).groupBy(*key, "type", "item_value", "value").agg(F.countDistinct("item_at").alias("n")))
+    one = pairs.groupBy(*key, "type", "item_value").agg((F.count("*") > 1).alias("bad"))
+    other = pairs.where("type = '<p>'").groupBy(*key, "value").agg((F.countDistinct("item_value") > 1).alias("bad"))
+    bad = one.where("bad").select(*key).union(other.where("bad").select(*key)).distinct()
+    sums = pairs.groupBy(*key).agg(F.sum("n").alias("slots"), F.sum(F.when(F.col("value") != F.col("item_value"), F.col("n")).otherwise(0)).alias("changed"))
+    size = chains.groupBy(*key).agg(F.countDistinct("item_pos").alias("windows"))
+    sums = size.join(sums, key, "left").join(bad, key, "left_anti").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("slots", "changed")})
+    best = sums.groupBy("row", "item").agg(F.max(F.struct("windows", "slots", (-F.col("changed")).alias("kept"))).alias("best"))
+    return best.select("row", "item", "best.windows", "best.slots", (-F.col("best.kept")).alias("changed"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: float = 0.5) -> DataFrame:
     """doc_id, item_id, windows found, windows of the item, slots compared, slots changed and kind (verbatim or reparameterised)."""
-    found, of_items = matches(docs, benchmark, size, share)
+    items = table(_items(benchmark))
+    windows = table(_item_windows(items, size))
+    of = windows.groupBy("item").agg(F.countDistinct("item_pos").alias("of"))
+    found = matches(docs, items, windows, share)
+    if found is None:
+        kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+        return docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, found long, of long, slots long, changed long, kind string")
     slotted = found.where("slots > 0")
-    good = found
+    hits = found.groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), F.countDistinct(F.when(F.col("slots") == 0, F.col("item_pos"))).alias("plain"))
     if slotted.isEmpty():
-        sums = None
-    else:
-        span = slotted.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)).alias("item_at")).distinct()
-        a = _slot_rows(benchmark.select("item_id", "text"), "item_id", slotted).select(F.col("item_id").alias("i"), F.col("at").alias("item_at"), F.col("value").alias("item_value"), "type")
-        b = _slot_rows(docs.select("doc_id", "text"), "doc_id", slotted).select(F.col("doc_id").alias("d"), F.col("at").alias("doc_at"), "value", F.col("type").alias("doc_type"))
-        pairs = span.join(a, F.col("i").eqNullSafe(F.col("item_id")) & (span["item_at"] == a["item_at"])).select("doc_id", "item_id", "shift", span["item_at"], "item_value", "type")
-        pairs = pairs.join(b, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("doc_at") == F.col("item_at") + F.col("shift")) & (F.col("type") == F.col("doc_type")))
-        values = pairs.groupBy("doc_id", "item_id", "shift", "type", "item_value").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.countDistinct("item_at").alias("n"))
-        lines = table(values.groupBy("doc_id", "item_id", "shift").agg(F.bool_and(F.col("low") == F.col("high")).alias("consistent"), F.sum("n").alias("slots"), F.sum(F.when((F.col("low") != F.col("item_value")) | (F.col("high") != F.col("item_value")), F.col("n")).otherwise(0)).alias("changed")))
-        bad = lines.where("not consistent").select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), "shift")
-        wrong = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("i").eqNullSafe(F.col("item_id")) & (F.col("shift") == F.col("pos") - F.col("item_pos"))
-        good = found.where("slots = 0").union(slotted.join(bad, wrong, "left_anti"))
-        sums = lines.where("consistent").groupBy(F.col("doc_id").alias("d"), F.col("item_id").alias("i")).agg(F.max("slots").alias("slots"), F.min_by("changed", -F.col("slots")).alias("changed"))
-    hits = good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("found"))
-    of = of_items.select(F.col("item_id").alias("o"), F.col("windows").alias("of"))
-    out = hits.join(of, F.col("o").eqNullSafe(F.col("item_id"))).where(F.col("found") >= F.col("of") * F.lit(share)).drop("o")
-    if sums is None:
-        out = out.withColumns({"slots": F.lit(0).cast("long"), "changed": F.lit(0).cast("long")})
+        hits = hits.withColumns({c: F.lit(0).cast("long") for c in ("windows", "slots", "changed")})
     else:
-        out = out.join(sums, F.col("d").eqNullSafe(F.col("doc_id")) & F.col("i").eqNullSafe(F.col("item_id")), "left").drop("d", "i")
-        out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("slots", "changed")})
+        hits = hits.join(table(_best_chains(docs, items, slotted)), ["row", "item"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("windows", "slots", "changed")})
+    hits = hits.withColumn("found", F.col("plain") + F.col("windows")).join(small(table(of)), "item")
+    hits = hits.where(F.col("found") >= F.col("of") * F.lit(share)).join(small(table(items.select("item", "item_id"))), "item")
+    # Of rows that share an id, and of items that do, the pair with most is reported.
+    out = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("found", "of", "slots", "changed")).alias("x")).select("doc_id", "item_id", "x.*")
     return out.withColumn("kind", F.when(F.col("changed") > 0, "reparameterised").otherwise("verbatim"))
 
 

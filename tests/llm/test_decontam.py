@@ -1,5 +1,6 @@
 import re
 import unicodedata
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -31,34 +32,65 @@ def brute_words(text):
         w = m[0]
         before = text[: m.start()].rstrip(" ")
         name = len(w) > 1 and letter(w[0], "Lu") and letter(w[1], "Ll") and m.start() > len(before) > 0 and (letter(before[-1], "L") or before[-1] in ",;")
-        kind = "<n>" if w[0] in "0123456789" else "<p>" if name else "<u>" if w.lower() in decontam.UNITS else None
+        kind = "<n>" if w[0] in "0123456789" or (not name and w.lower() in decontam.NUMBERS) else "<p>" if name else "<u>" if w.lower() in decontam.UNITS else None
         out.append((kind or w.lower(), kind, w.lower()))
     return out
 
 
-def brute(docs, items, size=8):
+def brute_item(text):
+    """(words, list of (item_pos, words or templates, slots, strict))."""
+    w = brute_words(text)
+    n = min(8, len(w))
     out = []
+    for p in range(len(w) - n + 1) if n else ():
+        forms = [[x[0] for x in w[p : p + n]]]
+        if p == 0 and re.match(r"[\W_]*[^\W\d_]{2}", text) and letter(text.lstrip(" \n")[0], "Lu") and letter(text.lstrip(" \n")[1], "Ll") and not w[0][1]:
+            forms.append(["<p>", *forms[0][1:]])
+        for form in forms:
+            slots = sum(x in ("<n>", "<p>", "<u>") for x in form)
+            strict = slots > 0 and n - slots < 4
+            out.append((p, [x[2] for x in w[p : p + n]] if strict else form, 0 if strict else slots, strict))
+    return w, n, out
+
+
+def brute(docs, items):
+    best = {}
     for i, item in items:
-        b = brute_words(item)
-        n = min(size, len(b))
-        if not n:
-            continue
-        for d in dict.fromkeys(d for d, _ in docs):
-            found, changed = set(), False
-            for x in [t for e, t in docs if e == d]:
-                w = brute_words(x)
-                for shift in range(-len(b), len(w) + 1):
-                    at = [p for p in range(len(b) - n + 1) if 0 <= p + shift <= len(w) - n and [y[0] for y in b[p : p + n]] == [y[0] for y in w[p + shift : p + shift + n]]]
-                    cover = {q for p in at for q in range(p, p + n) if b[q][1]}
-                    values = {}
-                    for q in cover:
-                        values.setdefault((b[q][1], b[q][2]), set()).add(w[q + shift][2])
-                    ok = all(len(v) == 1 for v in values.values())
-                    found |= {p for p in at if ok or not any(y[1] for y in b[p : p + n])}
-                    changed |= ok and any(k[1] not in v for k, v in values.items())
-            if 2 * len(found) >= len(b) - n + 1:
-                out.append(str((d, i, len(found), "reparameterised" if changed else "verbatim")))
-    return sorted(out)
+        b, n, windows = brute_item(item or "")
+        of = len({x[0] for x in windows})
+        for d, text in docs:
+            w = brute_words(text)
+            plain, slotted = set(), {}
+            for at in range(len(w) - n + 1) if n else ():
+                for p, form, slots, strict in windows:
+                    if form == [x[2 if strict else 0] for x in w[at : at + n]]:
+                        if slots:
+                            slotted.setdefault(at, set()).add(p)
+                        else:
+                            plain.add(p)
+            size = Counter(at - p for at, ps in slotted.items() for p in ps)
+            chains, last = [], None
+            for at in sorted(slotted):
+                p = min(slotted[at], key=lambda p: (-size[at - p], at - p))
+                if last is None or last >= p:
+                    chains.append([])
+                chains[-1].append((at, p))
+                last = p
+            top = (0, 0, 0)
+            for chain in chains:
+                spots = {(p + k, at + k) for at, p in chain for k in range(n) if b[p + k][1]}
+                values, names = {}, {}
+                for x, y in spots:
+                    values.setdefault((b[x][1], b[x][2]), set()).add(w[y][2])
+                    if b[x][1] == "<p>":
+                        names.setdefault(w[y][2], set()).add(b[x][2])
+                if all(len(v) == 1 for v in [*values.values(), *names.values()]):
+                    changed = {x for x, y in spots if b[x][2] != w[y][2]}
+                    top = max(top, (len({p for _, p in chain}), len({x for x, _ in spots}), -len(changed)))
+            found = len(plain) + top[0]
+            if of and 2 * found >= of and found:
+                best[d, i] = max(best.get((d, i), (0,)), (found, of, top[1], -top[2]))
+    return sorted(str((d, i, x[0], "reparameterised" if x[3] else "verbatim")) for (d, i), x in best.items())
 
 
 def test_against_brute_force(spark, monkeypatch):
@@ -87,7 +119,32 @@ def test_tables_and_empty(spark):
         assert decontam.find(a, b).count() == 0
 
 
+LONG = ITEMS[0][1]
+HARD = [
+    (1, LONG.replace("120 km while Anna", "120 km slowly while Zoe").replace("then Anna", "then Ivo")), (2, LONG.replace("120 km", "120 km very slowly")), (3, "He has 43 of them."),
+    (4, "So 42 it is"), (5, "run 12 km"), (6, "run 5 km now"), (7, LONG.replace("9 hours", "seven hours").replace("5 km", "three km")), (8, LONG.replace("Anna", "Boston")),
+    (9, NEW + " " + LONG), (10, "he said The cat sat on a mat with us"), (11, "x"), (11, "y " + LONG), (11, LONG[: len(LONG) // 2]), (12, "forty two"),
+]
+SHORT = [*ITEMS, (21, "42"), (22, "5 km"), (23, "The cat sat on a mat with us")]
+
+
+def test_hard_cases_with_and_without_anchors(spark, monkeypatch):
+    """Short items, inserted words, number words, clashing names, rows that share an id; anchors only save work."""
+    docs, bench = spark.createDataFrame(HARD, "doc_id long, text string").repartition(3), spark.createDataFrame(SHORT, "item_id long, text string")
+    for most in (20_000, 0):
+        monkeypatch.setattr(decontam, "MOST_ANCHORS", most)
+        got = decontam.find(docs, bench).collect()
+        assert sorted(str((r["doc_id"], r["item_id"], r["found"], r["kind"])) for r in got) == brute(HARD, SHORT)
+        pairs = {(r["doc_id"], r["item_id"]): r["kind"] for r in got}
+        assert not {(1, 1), (3, 21), (5, 22), (8, 1), (12, 21)} & set(pairs)
+        assert {(2, 1), (4, 21), (6, 22), (7, 1), (9, 1), (10, 23), (11, 1)} <= set(pairs) and pairs[7, 1] == "reparameterised" and pairs[9, 1] == "verbatim"
+
+
 def test_plan_is_native(spark):
-    found, _ = decontam.matches(spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string"))
-    plan = decontam.find(spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string"))._jdf.queryExecution().toString()
+    docs, bench = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    items = decontam._items(bench)
+    windows = decontam._item_windows(items, 8)
+    found = decontam.matches(docs, items, windows)
+    frames = [items, windows, decontam._chains(found), decontam._best_chains(docs, items, found.where("slots > 0")), decontam.find(docs, bench)]
+    plan = "".join(x._jdf.queryExecution().toString() for x in frames)
     assert found.count() and "Python" not in plan and "Arrow" not in plan
