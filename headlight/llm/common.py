@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -23,7 +25,7 @@ BATCH_ROWS = 2000
 
 
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the driver was not started in its folder."""
+    """Lets Python workers import this package where the driver was not started in its folder, and bounds their batches for the session."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
@@ -34,9 +36,11 @@ def ready(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all nodes share; a temporary folder only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which all nodes share; a temporary folder only where that is unset and Spark runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         base = "file://" + tempfile.mkdtemp(prefix="headlight-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/headlight-{uuid.uuid4().hex}"
@@ -47,7 +51,17 @@ def table(df: DataFrame, compression: str = "lz4") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.headlight_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes what table() wrote; nothing may be computed from it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.headlight_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Tables of up to this many rows of a few numbers each are broadcast; larger ones are joined by a shuffle.
@@ -68,20 +82,40 @@ def remainder(doc_id, modulus: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def largest_counts(df: DataFrame, column: str, limit: int) -> int:
-    """The smallest threshold t >= 1 such that at most `limit` rows have column >= t.
+DIGIT = 12
+
+
+def most_frequent(df: DataFrame, column: str, item: str, limit: int) -> DataFrame:
+    """The `limit` rows of df (or all) with the largest whole `column` of at least 1, ties by the item's 64-bit hash.
 
-    The histogram is over powers of two cut in 16, so it has at most about 1,000 rows whatever the input.
+    The boundary is found by radix descent: each pass counts at most 4,096 bins of the digits that follow the boundary's.
+    Rows that are equal in count and hash stay or go together, so that at most `limit` rows stay.
     """
-    exponent = F.floor(F.log2(F.col(column)))
-    floor = F.pow(F.lit(2.0), exponent) * (1 + F.floor((F.col(column) / F.pow(F.lit(2.0), exponent) - 1) * 16) / 16)
-    best, seen = None, 0
-    for low, n in sorted(df.where(F.col(column) >= 1).groupBy(F.ceil(floor).alias("low")).count().collect(), reverse=True):
-        seen += n
-        if seen > limit:
-            break
-        best = low
-    return int(best) if best is not None else 2**62
+    if limit < 1:
+        return df.where("false")
+    rows = df.where(F.col(column) >= 1)
+    top = rows.agg(F.max(column)).first()[0]
+    if top is None:
+        return rows
+    count, hashed = F.col(column).cast("long"), F.xxhash64(item)
+    kept, inside, room = F.lit(False), F.lit(True), limit
+    # First the digits of the count, the largest first, then those of the hash, the smallest first.
+    for key, bits, largest in ((count, int(top).bit_length(), True), (hashed, 64, False)):
+        while bits:
+            bits = max(0, bits - DIGIT)
+            digit = F.shiftrightunsigned(key, bits)
+            bins = rows.where(inside).groupBy(digit.alias("d")).count().collect()
+            edge = None
+            for d, n in sorted(map(tuple, bins), reverse=largest):
+                if n > room:
+                    edge = d
+                    break
+                room -= n
+            if edge is None:
+                return rows.where(kept | inside)
+            kept = kept | inside & (digit > F.lit(edge) if largest else digit < F.lit(edge))
+            inside = inside & (digit == F.lit(edge))
+    return rows.where(kept)
 
 
 def annotate(docs: DataFrame, column: str, fields: dict[str, pa.DataType], of) -> DataFrame:
@@ -169,13 +203,30 @@ BYTE_LETTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161),
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
 
+#: The normalizers and the split pattern of the vocabulary whose texts may be encoded word by word.
+BY_WORD = ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _splits_at_words(path: str) -> bool:
+    """Whether a vocabulary file normalises and splits as WordTokenizer takes for granted."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    normal, split = ((found[k] or {}).get(v) or [{}] for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    return (
+        ([x.get("type") for x in normal], split[0].get("pattern", {}).get("Regex")) == BY_WORD
+        and [x.get("type") for x in split] == ["Split", "ByteLevel"]
+        and all(x["content"].startswith("<|") for x in found["added_tokens"])
+        and found["model"].get("end_of_word_suffix") == "</w>"
+    )
+
+
 class WordTokenizer(dict):
     """ids of a text as little-endian unsigned 32-bit bytes.
 
-    The vocabulary is lower case, its pre-tokenizer never joins across ASCII white space, and its normalizer has no context
-    there, so a text's ids are its lower-cased words' ids in order; words are remembered up to a bound. Words of Latin-1
-    letters go straight to the BPE model, letters with marks behind them are two such parts, others go through the whole
-    tokenizer; so does a text that may hold a special token.
+    A vocabulary that is lower case, whose pre-tokenizer never joins across ASCII white space and whose normalizer has no context
+    there (`_splits_at_words` reads its file) gives a text its lower-cased words' ids in order; words are remembered up to a bound.
+    Words of Latin-1 letters go straight to the BPE model, letters with marks behind them are two such parts, others go through the
+    whole tokenizer; so does a text that may hold a special token, and every text with any other vocabulary.
     """
 
     BOUND = 600_000
@@ -187,6 +238,7 @@ class WordTokenizer(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_word = _splits_at_words(path)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -213,7 +265,7 @@ class WordTokenizer(dict):
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "<|" in text:
+        if not self.by_word or "<|" in text:
             return self._ids(text)
         return b"".join(map(self.__getitem__, text.encode().lower().split()))
 
@@ -252,13 +304,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).where("id is not null and other is not null and id <> other")
     both = table(both.union(both.select(F.col("other"), F.col("id"))).distinct())
-    labels = table(both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("component")))
+    labels = last = table(both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("component")))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("m"))
         near = table(labels.join(near, "id").select("id", F.least("component", "m").alias("m"), F.col("component").alias("old")))
         up = near.select(F.col("id").alias("m"), F.col("m").alias("top"))
-        step = table(near.join(up, "m").select("id", F.least("m", "top").alias("component"), (F.least("m", "top") < F.col("old")).alias("moved")))
-        labels = step.select("id", "component")
-        if step.where("moved").isEmpty():
+        drop(last)
+        last = table(near.join(up, "m").select("id", F.least("m", "top").alias("component"), (F.least("m", "top") < F.col("old")).alias("moved")))
+        drop(near)
+        labels = last.select("id", "component")
+        if last.where("moved").isEmpty():
+            drop(both)
             return labels
     raise RuntimeError("components did not settle; raise rounds")

@@ -9,13 +9,17 @@ and one of B's first |B| - ceil(t|B|) + 1 shingles. A class with fewer than t|A|
 large group of near copies does not make all its pairs, some rounds first compare each class with one member per shingle;
 after them the join pairs only classes that are not yet connected, all of them, so no connection is lost.
 
+Each class carries the parities of its shared shingles by 1,024 places of their hashes. The places where two classes differ are at
+most the shingles they differ in, so most pairs that share much but too little (pages of the same blocks, say) are turned down within
+the join, before any pair is written or verified. A shingle of many classes is dealt to several tasks (`FEW` members each).
+
 The most frequent shingles (at most HOT, a bounded broadcast list) do not go through the blocks, so that no block holds
 more than its share; they stay part of the order, of prefixes and of overlaps.
 
 Null and empty texts and texts without words have an empty set, link with nothing, and are their own component; null ids keep
 their row, with the smallest other id of the component, or null; repeated rows are copies of one another; rows that share an id
 but not a text are documents of their own. Extra columns are ignored; an empty table gives an empty result. Shingles are compared
-by 64-bit hashes; classes by 64 bits, with 64 more to detect (and then avoid, by another seed) a clash.
+by 64-bit hashes; classes by 64 bits, with 64 more to detect a clash and avoid it by another seed (eight clashes in a row raise).
 """
 
 from __future__ import annotations
@@ -28,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headlight.llm.common import annotate, components, largest_counts, ready, shingles, small, table
+from headlight.llm.common import annotate, components, drop, most_frequent, ready, shingles, small, table
 
+SEEDS = 8
 HOT, HOT_LEAST, FLUSH, BLOCK = 100_000, 64, 1_000_000, 1_000_000
 #: Fragments of the order: up to which number of classes a shingle belongs to each.
 EDGES = np.array([2, 4, 16, 128, 2**31 - 2])
 HOT_COUNT = 2**31 - 1
+PLACES, FEW = 1024, 2048
 SKETCH = "doc_id long, n long, sig long, proof long, hot array<long>, hot_n array<int>"
 _sketch_kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
@@ -186,8 +192,13 @@ def _count(bits: int):
     return run
 
 
-SEGMENTS = "sig long, n long, fragment int, toks binary, prefix array<long>, places array<int>, shared long"
-_segment_kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()]
+#: `odd`, the parities as 64-bit numbers, is null but in a class's first fragment.
+SEGMENTS = "sig long, n long, fragment int, toks binary, prefix array<long>, places array<int>, shared long, odd array<long>"
+_segment_kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int64())]
+
+
+def _parities(toks: np.ndarray) -> np.ndarray:
+    return np.packbits((np.bincount((toks & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _segments(t: Fraction):
@@ -213,10 +224,12 @@ def _segments(t: Fraction):
                 continue
             reach = n - ceil(t * n) + 1 - (n - (b - a))  # shared shingles within the prefix; those of one class come before
             fragment = np.searchsorted(EDGES, df[a:b])
+            odd = _parities(tok[a:b])
             for f in np.unique(fragment).tolist():
                 here = np.flatnonzero(fragment == f)
                 lead = here[here < reach]
-                rows.append((int(sig[a].view(np.int64)), n, f, np.sort(tok[a:b][here]).tobytes(), tok[a:b][lead].view(np.int64), (lead + n - (b - a)).astype(np.int32), b - a))
+                rows.append((int(sig[a].view(np.int64)), n, f, np.sort(tok[a:b][here]).tobytes(), tok[a:b][lead].view(np.int64), (lead + n - (b - a)).astype(np.int32), b - a, odd))
+                odd = None
         return pa.Table.from_batches([_batch(_segment_kinds, SEGMENTS, rows)])
 
     return run
@@ -229,15 +242,24 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["a", "b", "common"])
 
 
-def verify(pairs: DataFrame, segments: DataFrame, t: Fraction) -> DataFrame:
+def _may_link(t: Fraction, a: str, b: str):
+    """Whether classes with the columns n, s (shared shingles) and o (parities), each with suffix a or b, may have Jaccard >= t."""
+    differ = sum((F.bit_count(F.col(f"o{a}")[i].bitwiseXOR(F.col(f"o{b}")[i])) for i in range(PLACES // 64)), F.lit(0))
+    return (F.col(f"s{a}") + F.col(f"s{b}") - differ) * (t.numerator + t.denominator) >= (F.col(f"n{a}") + F.col(f"n{b}")) * (2 * t.numerator)
+
+
+def verify(pairs: DataFrame, segments: DataFrame, marks: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (a, b, na, nb) with Jaccard >= t: overlaps are counted by fragment and summed by pair."""
     left = segments.select(F.col("sig").alias("a"), "fragment", F.col("toks").alias("ta"))
     right = segments.select(F.col("sig").alias("b"), "fragment", F.col("toks").alias("tb"))
-    pairs = table(pairs)
+    mark = lambda x: marks.select(F.col("sig").alias(x), F.col("s").alias(f"s{x}"), F.col("o").alias(f"o{x}"))
+    pairs = table(pairs.join(mark("a"), "a").join(mark("b"), "b").where(_may_link(t, "a", "b")).select("a", "b", "na", "nb"))
     first = table(pairs.select("a", "b").join(left, "a"))
     joined = first.join(right, ["b", "fragment"]).select("a", "b", "ta", "tb")
     sums = joined.mapInArrow(_overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
-    return table(sums.join(pairs, ["a", "b"]).where(F.col("common") * t.denominator >= (F.col("na") + F.col("nb") - F.col("common")) * t.numerator).select("a", "b"))
+    out = table(sums.join(pairs, ["a", "b"]).where(F.col("common") * t.denominator >= (F.col("na") + F.col("nb") - F.col("common")) * t.numerator).select("a", "b"))
+    drop(first, pairs)
+    return out
 
 
 def _fits(t: Fraction, small: str, large: str):
@@ -260,27 +282,34 @@ def links(segments: DataFrame, t: Fraction, rounds: int = 4, lead: int = 2, shar
     prefix = segments.select("sig", "n", "shared", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("sig", "n", "shared", F.col("p.prefix").alias("tok"), F.col("p.places").alias("place"), (F.col("p.places") - F.col("n") + F.col("shared")).alias("nth"))
     whole = F.floor((F.col("n") * t.numerator + (t.denominator - 1)) / t.denominator).cast("long")
     prefix = table(prefix.withColumn("behind", F.col("shared") - whole - F.col("nth")).drop("shared"))
+    marks = table(segments.where("odd is not null").select("sig", F.col("shared").alias("s"), F.col("odd").alias("o")))
     groups, found = None, None
     for r in range(rounds):
         drawn = F.pmod(F.xxhash64("tok", F.lit(r)), F.lit(share)) == 0
-        some = prefix.where(drawn | (F.col("nth") < 1) | (F.col("behind") < lead))
-        some = _with_groups(some, groups)
+        some = _with_groups(prefix.where(drawn | (F.col("nth") < 1) | (F.col("behind") < lead)), groups)
         leaders = some.groupBy("tok").agg(F.min_by(F.struct("sig", "n", "group"), F.struct(F.col("place") if r == 0 else F.lit(0), F.xxhash64("sig", "tok", F.lit(r)))).alias("l"), F.min("group").alias("low"), F.max("group").alias("high"))
         leaders = table(leaders.where("low <> high").select("tok", F.col("l.sig").alias("b"), F.col("l.n").alias("nb"), F.col("l.group").alias("gb")))
         pairs = some.join(leaders, "tok").where((F.col("group") != F.col("gb")) & (F.least("n", "nb") * t.denominator >= F.greatest("n", "nb") * t.numerator))
-        new = verify(_ordered(pairs.select(F.col("sig").alias("a"), "b", F.col("n").alias("na"), "nb")), segments, t)
+        new = verify(_ordered(pairs.select(F.col("sig").alias("a"), "b", F.col("n").alias("na"), "nb")), segments, marks, t)
+        drop(leaders, *([] if groups is None else [some]))
         found = new if found is None else found.union(new)
         groups = components(found)
     rest = _with_groups(prefix, groups)
-    mixed = table(rest.groupBy("tok").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("tok"))
-    rest = table(rest.join(mixed, "tok"))
+    mixed = rest.groupBy("tok").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.ceil(F.count("*") / FEW).cast("int").alias("parts"))
+    mixed = table(mixed.where("low <> high").select("tok", "parts"))
     # Shared shingles left when this one is the first in common bound the partner's size, as does the overlap that t asks for.
     most = F.floor((F.col("n") - F.col("place")) * (t.denominator + t.numerator) / F.lit(float(t.numerator)) + 1e-9) - F.col("n")
-    rest = rest.withColumn("most", most.cast("long"))
-    x = rest.where(F.col("most") >= F.col("n")).select("tok", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"), F.col("most").alias("ma"))
-    y = rest.select("tok", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("group").alias("gb"), F.col("most").alias("mb"))
-    pairs = x.join(y, "tok").where((F.col("ga") != F.col("gb")) & (F.col("na") <= F.col("nb")) & _fits(t, "na", "nb") & (F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb")))
-    new = verify(_ordered(pairs.select("a", "b", "na", "nb")), segments, t)
+    rest = rest.join(mixed, "tok").select("tok", "parts", "sig", "n", "group", most.cast("long").alias("most"))
+    rest = table(rest.join(marks, "sig"))
+    # Members of a shingle go to its parts by hash, and to all of them for the other side.
+    side = lambda x: [F.col(c).alias(c[0] + x) for c in ("group", "n", "s", "o", "most")]
+    x = rest.where(F.col("most") >= F.col("n")).select("tok", F.pmod(F.xxhash64("sig"), "parts").cast("int").alias("part"), F.col("sig").alias("a"), *side("a"))
+    y = rest.select("tok", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("sig").alias("b"), *side("b"))
+    near = (F.col("ga") != F.col("gb")) & (F.col("na") <= F.col("nb")) & _fits(t, "na", "nb") & (F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb")) & _may_link(t, "a", "b")
+    x, y = x.alias("x"), y.alias("y")
+    pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.part") == F.col("y.part")) & near)
+    new = verify(_ordered(pairs.select("a", "b", "na", "nb")), segments, marks, t)
+    drop(prefix, rest, mixed)
     return components(found.union(new))
 
 
@@ -299,16 +328,18 @@ def _join(docs: DataFrame, k: int, threshold: Fraction) -> tuple[DataFrame, int]
     """The join with the class and its group of linked classes, and the seed of the classes."""
     spark = docs.sparkSession
     ready(spark)
-    for seed in range(8):
+    for seed in range(SEEDS):
         sketched = table(sketch(docs, k, seed))
         rows = sketched.where("n is not null").select("doc_id", "n", "sig", "proof")
         classes = table(rows.groupBy("sig").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"), F.min("proof").alias("p"), F.max("proof").alias("q")))
         if classes.where("p <> q").isEmpty():
             break
+    else:
+        raise RuntimeError("classes clash with every seed")
     total = classes.agg(F.sum("n")).first()[0] or 0
     counts = table(sketched.where("hot is not null").select(F.explode(F.arrays_zip("hot", "hot_n")).alias("h")).groupBy(F.col("h.hot").alias("tok")).agg(F.sum("h.hot_n").alias("n")))
-    least = max(HOT_LEAST, largest_counts(counts, "n", HOT))
-    hot = np.sort(np.array([r["tok"] for r in counts.where(F.col("n") >= least).select("tok").collect()], np.int64).view(np.uint64))
+
+    hot = np.sort(np.array([r["tok"] for r in most_frequent(counts.where(F.col("n") >= HOT_LEAST), "n", "tok", HOT).select("tok").collect()], np.int64).view(np.uint64))
     bits = max(7, ceil(log2(max(1, total / BLOCK))))
     entries = block_entries(docs, bits, spark.sparkContext.broadcast(hot), k, seed)
     shared = entries.groupBy("block").applyInArrow(_count(bits), SHARED)

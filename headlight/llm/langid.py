@@ -2,14 +2,18 @@
 
 Known words score by per-language log frequency; an unseen word falls back to its 4-, then 3-, 2- and 1-letter character
 n-grams, the first length of which any is known. Word and n-gram counts cover every training row; only the sizes of the
-broadcast tables are bounded (max_words, max_grams: model parameters). Null texts and texts without a letter give `und`
-and score 0; ties go to the language that sorts first; no training rows give `und` throughout. Extra columns are ignored,
-repeated rows are scored alike, an empty table gives an empty result.
+broadcast tables are bounded (max_words, max_grams and CELLS, items by languages: model parameters). They keep the items with
+the largest share of any language's tokens, so that a small language keeps its words. Null texts and texts without a letter
+(category L) give `und` and score 0; ties go to the language that sorts first; no training rows give `und` throughout; more than
+MOST_LANGS different languages raise an error. Extra columns are ignored, repeated rows are scored alike, an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -17,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headlight.llm.common import annotate, largest_counts, ready, table
+from headlight.llm.common import annotate, most_frequent, ready, table
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters: `\w` also has numerals that are no digits.
+WORD = re.compile(r"[^\W\d_%s]+" % "".join(c for c in re.findall(r"[^\W\d_]", "".join(map(chr, range(sys.maxunicode + 1)))) if not unicodedata.category(c).startswith("L")))
+CELLS, MOST_LANGS = 8_000_000, 10_000
 LONGEST = 4
 FLUSH = 120_000
 COUNTS = "lang string, item string, n long"
@@ -139,28 +145,29 @@ def _rows(counts: list, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
 
 
 def _kept(counts: DataFrame, limit: int) -> list:
-    """Counts of the most frequent items: at most `limit` items, so bounded for the driver and the broadcast."""
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    items = counts.groupBy("item").agg(F.sum("n").alias("all_n"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    items = table(items)
-    most = largest_counts(items, "all_n", limit)
-    rows = items.where(F.col("all_n") >= most).select("item", F.inline("by")).collect()
+    """Counts of at most `limit` items, those with the largest share of a language, so bounded for the driver and the broadcast."""
+    totals = table(counts.groupBy("lang").agg(F.sum("n").alias("total")))
+    weighed = counts.join(F.broadcast(totals), "lang").withColumn("weight", F.ceil(F.col("n") * F.lit(2.0**40) / F.col("total")).cast("long"))
+    items = table(weighed.groupBy("item").agg(F.max("weight").alias("weight"), F.collect_list(F.struct("lang", "n")).alias("by")))
+    rows = most_frequent(items, "weight", "item", limit).select("item", F.inline("by")).collect()
     total = {r["lang"]: r["total"] for r in totals.collect()}
     return sorted((r["lang"], r["item"], r["n"], total[r["lang"]]) for r in rows)
 
 
-def fit(docs: DataFrame, max_words: int = 40_000, max_grams: int = 60_000) -> Model:
+def fit(docs: DataFrame, max_words: int = 80_000, max_grams: int = 60_000) -> Model:
     """docs: text and lang of the training rows; rows with a null in either are not used."""
     ready(docs.sparkSession)
     use = docs.select("text", "lang").where("text is not null and lang is not null")
-    per_lang = {r["lang"]: r["n"] for r in use.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    per_lang = {r["lang"]: r["n"] for r in use.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
     langs = sorted(per_lang)
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not langs:
         return Model([], np.zeros(0), {}, np.zeros((1, 0)), {}, np.zeros((1, 0)))
     counted = table(use.mapInArrow(_count_words, COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n")))
     gram_counts = table(counted.mapInArrow(_count_grams, COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n")))
-    words, word_rows = _rows(_kept(counted, max_words), langs)
-    ids, gram_rows = _rows(_kept(gram_counts, max_grams), langs)
+    words, word_rows = _rows(_kept(counted, min(max_words, CELLS // len(langs))), langs)
+    ids, gram_rows = _rows(_kept(gram_counts, min(max_grams, CELLS // len(langs))), langs)
     n = np.array([per_lang[x] for x in langs], float)
     return Model(langs, np.log(n / n.sum()), words, word_rows, ids, gram_rows)
 

@@ -4,7 +4,8 @@ Two interpolated bigram models share one vocabulary (all words of the documents
 others), order and smoothing. Words and pairs are counted over all target documents for one model and over all others for the
 other. Nothing of the models is collected: counts go by blocks of the key range, and each chunk of documents asks the blocks
 for the counts of its distinct words and pairs. `size` (a model parameter, by default unset) would keep only the most frequent
-words. score = target loss - background loss per token: the lower, the closer to the target.
+words. A document that a model was fitted to is scored by it without its own counts (its copies' counts stay), so that both losses
+are those of a text that the model has not seen. score = target loss - background loss per token: the lower, the closer to the target.
 
 Null and empty texts have no tokens, null losses and score 0; a null flag counts as background; without target or background
 documents that model is uniform over the vocabulary; repeated rows count as often as they occur; extra columns are ignored; an
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from headlight.llm.common import ODD, largest_counts, mix, ready, table, words
+from headlight.llm.common import ODD, mix, most_frequent, ready, table, words
 
 STRENGTH, FLUSH = 32.0, 150_000
 #: Bytes of text by chunk of documents and by block of keys.
@@ -52,11 +53,10 @@ def _count_words(batches):
 
 
 def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
-    """At most size - 1 words: all that are as frequent as the least frequent of them."""
+    """The size - 1 most frequent words, ties by hash."""
     ready(docs.sparkSession)
     counted = table(docs.select("text").where("text is not null").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    least = largest_counts(counted, "n", size - 1)
-    return sorted(bytes(r["word"]) for r in counted.where(F.col("n") >= least).select("word").collect())
+    return sorted(bytes(r["word"]) for r in most_frequent(counted, "n", "word", size - 1).select("word").collect())
 
 
 class Numbers(dict):
@@ -121,17 +121,36 @@ class Chunk:
         parts = [(self.pair, len(self.of[0])), (self.word, n), (self.before, n + 1)]
         return np.concatenate([np.bincount(x[at], minlength=m) for x, m in parts])[self.order].astype(np.uint32)
 
-    def losses(self, told: np.ndarray, total: int, size: int, strength: float = STRENGTH) -> np.ndarray:
-        """-log p of each distinct pair: pair counts with a prior of `strength` on one-word shares."""
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often each token's pair, word and word before occur in its own text."""
+        text = np.repeat(np.arange(len(self.lengths)), self.lengths)
+
+        def count(x: np.ndarray, m: int) -> np.ndarray:
+            _, at, n = np.unique(text * m + x, return_inverse=True, return_counts=True)
+            return n[at]
+
+        return count(self.pair, max(1, len(self.of[0]))), count(self.word, self.n_words + 1), count(self.before, self.n_words + 1)
+
+    def means(self, told: np.ndarray, total: int, size: int, less: np.ndarray | None = None, own=None, strength: float = STRENGTH) -> np.ndarray:
+        """Mean -log p of the tokens of each text that has some: pair counts with a prior of `strength` on one-word shares.
+
+        less: the texts whose own counts (`own`) are taken off.
+        """
+        if not len(self.starts):
+            return np.zeros(0)
         n, m = self.n_words, len(self.of[0])
         c = np.empty(len(self.order))
         c[self.order] = told
-        one = (c[m : m + n] + 1.0) / (total + size)
-        return -np.log((c[:m] + strength * one[self.of[1]]) / (c[m + n :][self.of[0]] + strength))
-
-    def means(self, losses: np.ndarray) -> np.ndarray:
-        """Per text that has tokens."""
-        return np.add.reduceat(losses[self.pair], self.starts) / self.lengths[self.lengths > 0] if len(self.starts) else np.zeros(0)
+        pair, word, before = c[:m], c[m : m + n], c[m + n :]
+        one = (word + 1.0) / (total + size)
+        known = -np.log((pair + strength * one[self.of[1]]) / (before[self.of[0]] + strength))
+        losses = known[self.pair]
+        if less is not None and (at := np.flatnonzero(np.repeat(less, self.lengths))).size:
+            p, w, b = (x[at] for x in own)
+            rest = total + size - np.repeat(self.lengths, self.lengths)[at]
+            one = (word[self.word[at]] - w + 1.0) / rest
+            losses[at] = -np.log((pair[self.pair[at]] - p + strength * one) / (before[self.before[at]] - b + strength))
+        return np.add.reduceat(losses, self.starts) / self.lengths[self.lengths > 0]
 
 
 class Model(NamedTuple):
@@ -217,19 +236,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     n_words, *totals = (x or 0 for x in sums)
     size = n_words + 1 if model.size is None else model.size
 
-    rest = chunked.drop(*FIELDS)
-    names = [c for c in rest.columns if c != "headlight_chunk"]
+    flag = F.coalesce(F.col(f"`{model.target}`").cast("boolean"), F.lit(False)) if own else F.lit(None).cast("boolean")
+    rest = chunked.withColumn("headlight_target", flag).drop(*FIELDS)
+    names = [c for c in rest.columns if c not in ("headlight_chunk", "headlight_target")]
 
     def run(group, replies):
         chunk = Chunk(group.column("text"), vocab.value)
         some = chunk.lengths > 0
         replies = replies.sort_by("block")
+        flags = np.array(group.column("headlight_target").to_pylist(), bool) if own else None
+        mine = chunk.own() if own else None
         cols = []
         for name, total in zip(("t", "b"), totals, strict=True):
             losses = np.zeros(len(group))
             if some.any():
                 counts = np.concatenate([_plain(x.as_py(), np.int64) for x in replies.column(name)])
-                losses[some] = chunk.means(chunk.losses(counts, total, size))
+                losses[some] = chunk.means(counts, total, size, None if flags is None else flags if name == "t" else ~flags, mine)
             cols.append(losses)
         added = [pa.array(chunk.lengths), *(pa.array(x, mask=~some) for x in cols), pa.array(cols[0] - cols[1])]
         return pa.table([*(group.column(c) for c in names), *added], names=[*names, *FIELDS])

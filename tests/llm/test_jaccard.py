@@ -82,3 +82,50 @@ def test_prefix_bounds():
             if 4 * n >= 3 * m:
                 assert need >= -(-3 * m // 4) and need >= -(-6 * n // 7) and need <= n
     assert t.numerator == 3
+
+
+def blocks(n, seed=3):
+    """Pages of six of the same twelve 40-word paragraphs each, in any order, some of them twice with a word changed."""
+    rng = random.Random(seed)
+    paragraphs = [" ".join(f"p{i}w{j}" for j in range(40)) for i in range(12)]
+    rows = [(i, " ".join(rng.sample(paragraphs, 6))) for i in range(n)]
+    return [*rows, *((n + i, t.replace("w7 ", "x ", 1)) for i, t in rows[: n // 20])]
+
+
+def test_pages_of_shared_blocks_are_not_all_verified(spark, monkeypatch):
+    verified, verify = [], jaccard.verify
+
+    def count(pairs, segments, marks, t):
+        mark = lambda x: marks.select(jaccard.F.col("sig").alias(x), jaccard.F.col("s").alias(f"s{x}"), jaccard.F.col("o").alias(f"o{x}"))
+        verified.append(pairs.join(mark("a"), "a").join(mark("b"), "b").where(jaccard._may_link(t, "a", "b")).count())
+        return verify(pairs, segments, marks, t)
+
+    monkeypatch.setattr(jaccard, "verify", count)
+    monkeypatch.setattr(jaccard, "FEW", 100)
+    for n in (200, 400):
+        verified.clear()
+        rows = blocks(n)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in jaccard.join(docs).collect())
+        assert got == brute(rows)
+        print(n, verified)
+        assert verified[-1] <= n and sum(verified) <= 40 * n
+
+
+def test_parities_never_turn_down_a_link(spark):
+    """The filter's bound against exact overlaps of random sets."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    t, rows, links = Fraction(3, 4), [], []
+    for i in range(400):
+        n = int(rng.choice([5, 60, 400, 3000]))
+        a = rng.integers(0, 2**64, n, np.uint64)
+        b = np.concatenate([a[int(rng.integers(0, n // 3 + 1)) :], rng.integers(0, 2**64, int(rng.integers(0, n // 4 + 1)), np.uint64)])
+        odd = [[int(x) for x in jaccard._parities(x)] for x in (a, b)]
+        rows.append((i, len(a), len(b), len(a), len(b), *odd))
+        common = len(np.intersect1d(a, b))
+        links.append(4 * common >= 3 * (len(a) + len(b) - common))
+    df = spark.createDataFrame(rows, "i int, na long, nb long, sa long, sb long, oa array<long>, ob array<long>")
+    passed = {r["i"] for r in df.where(jaccard._may_link(t, "a", "b")).select("i").collect()}
+    assert {i for i, x in enumerate(links) if x} <= passed and 50 < sum(links) and len(passed) < 400

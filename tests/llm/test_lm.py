@@ -15,9 +15,10 @@ def test_against_brute_force(spark):
     model = lm.fit(docs, "flag", size)
     vocab = set(model[0])
     n = Counter(w for _, t, _ in rows for w in (t or "").encode().lower().split())
-    assert 0 < len(vocab) < size and min(n[w] for w in vocab) >= max(c for w, c in n.items() if w not in vocab)
+    assert len(vocab) == size - 1 and min(n[w] for w in vocab) >= max(c for w, c in n.items() if w not in vocab)
     known = lambda t: [w if w in vocab else b"" for w in (t or "").encode().lower().split()]
     pairs = [Counter(), Counter()]
+    flags = {d: flag for d, _, flag in rows}
     for _, t, flag in rows:
         w = known(t)
         pairs[0 if flag else 1].update(zip([None, *w[:-1]], w, strict=True) if w else ())
@@ -32,7 +33,9 @@ def test_against_brute_force(spark):
         if len(w) > 3000:
             continue
         loss = []
-        for c in pairs:
+        for k, c in enumerate(pairs):
+            if k == (0 if flags[d] else 1):
+                c = c - Counter(zip([None, *w[:-1]], w, strict=True))
             total, before, word = sum(c.values()), Counter(), Counter()
             for (a, b), k in c.items():
                 before[a] += k
@@ -71,14 +74,18 @@ def test_no_word_is_unknown(spark):
         word[k].update(w)
     size = len(vocab) + 1
 
-    def brute(t, k):
+    def brute(t, k, own=False):
         w = t.split()
-        one = lambda b: (word[k][b] + 1) / (sum(word[k].values()) + size)
-        return sum(-log((counts[k][a, b] + 32 * one(b)) / (starts[k][a] + 32)) for a, b in zip([None, *w[:-1]], w, strict=True)) / len(w)
+        pairs = list(zip([None, *w[:-1]], w, strict=True))
+        c, s, x = (n[k] - Counter(y) if own else n[k] for n, y in ((counts, pairs), (starts, [None, *w[:-1]]), (word, w)))
+        one = lambda b: (x[b] + 1) / (sum(x.values()) + size)
+        return sum(-log((c[a, b] + 32 * one(b)) / (s[a] + 32)) for a, b in pairs) / len(w)
 
     got = {r["doc_id"]: r for r in lm.score(docs, model).collect()}
+    for i, t, flag in common + rare:
+        assert np.allclose([got[i]["target_loss"], got[i]["background_loss"]], [brute(t, 0, bool(flag)), brute(t, 1, not flag)], atol=1e-9)
     assert len({got[i]["background_loss"] for i in (2, 3, 4)}) == 3 and got[4]["score"] == got[5]["score"]
     fresh = spark.createDataFrame([(9, "w1 unseen w2"), (10, "w1 rare w2")], "doc_id long, text string")
-    got |= {r["doc_id"]: r for r in lm.score(fresh, model).collect()}
-    for i, t in [(i, t) for i, t, _ in common + rare] + [(9, "w1 unseen w2"), (10, "w1 rare w2")]:
+    got = {r["doc_id"]: r for r in lm.score(fresh, model).collect()}
+    for i, t in [(9, "w1 unseen w2"), (10, "w1 rare w2")]:
         assert np.allclose([got[i]["target_loss"], got[i]["background_loss"]], [brute(t, 0), brute(t, 1)], atol=1e-9)
