@@ -2,11 +2,13 @@
 
 Documents in ascending id order are encoded into shards of about `shard` ids. In each shard, frequent adjacent id pairs
 are replaced by nonterminals again and again; a shard stores its rules, their expansion lengths and its symbols, so that any
-range of ids can be decoded without the rest. A pair is chosen with its exact count in the shard; each pass replaces the
-most frequent pairs together, left to right, until no pair is worth a rule or rule numbers run out. Symbols end at 65,535, so a shard has at most 65,536 - 49,408 rules.
+range of ids can be decoded without the rest (`fetch`). A pair is chosen with its exact count in the shard; each pass replaces the
+most frequent pairs together, left to right, until no pair is worth a rule or rule numbers run out. Symbols end at 65,535, so with a
+vocabulary of 49,408 ids a shard has at most 16,128 rules; a vocabulary of 65,536 ids or more raises an error.
 
-A null text is empty (its end id only); null ids come first; repeated ids are written each, in any order among themselves;
-a document longer than a shard makes a longer shard; extra columns are ignored; an empty table gives an empty result.
+A null text is empty (its end id only); null ids come first; repeated ids are written each, in the order of a hash of their texts,
+so that a hot id is spread over tasks; a document longer than a shard makes a longer shard; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from headlight.llm.common import crc, encoded, public_vocabulary, ready, scratch
 
 END_ID, FIRST_RULE, SYMBOLS = 1, 49_408, 65_536
 SHARD = 1 << 20
-FILE = "part int, shard int, doc_ids array<long>, lengths array<int>, rules binary, expansion binary, symbols binary"
+#: low and high: the least and the greatest id that is not null; first: the number of the first rule.
+FILE = "part int, shard int, low long, high long, first int, doc_ids array<long>, lengths array<int>, rules binary, expansion binary, symbols binary"
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -101,6 +104,10 @@ class Grammar:
         return self.expand(symbols[i : j + 1])[skip : skip + stop - start]
 
 
+def _grammar(first: int, rules: bytes, lengths: bytes) -> Grammar:
+    return Grammar(np.frombuffer(rules, "<u2").reshape(-1, 2), np.frombuffer(lengths, "<u4").astype(np.int64), first)
+
+
 def write(docs: DataFrame, vocabulary: str | None = None, path: str | None = None, end_id: int = END_ID, shard: int = SHARD) -> str:
     """Writes the files of all documents in ascending doc_id order and returns their folder."""
     spark = docs.sparkSession
@@ -108,15 +115,19 @@ def write(docs: DataFrame, vocabulary: str | None = None, path: str | None = Non
     path, names = path or scratch(spark), vocabulary or public_vocabulary()
     end = np.array([end_id], "<u4").tobytes()
 
-    def row(part: int, number: int, ids: list, sizes: list[int], data: list[bytes]) -> pa.RecordBatch:
-        symbols, rules, lengths = compress(np.frombuffer(b"".join(data), "<u4"))
-        values = [part, number, ids, sizes, rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u2").tobytes()]
-        kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+    def row(part: int, number: int, first: int, ids: list, sizes: list[int], data: list[bytes]) -> pa.RecordBatch:
+        symbols, rules, lengths = compress(np.frombuffer(b"".join(data), "<u4"), first=first)
+        some = [x for x in ids if x is not None]
+        values = [part, number, min(some, default=None), max(some, default=None), first, ids, sizes, rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u2").tobytes()]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=[x.split()[0] for x in FILE.split(", ")])
 
     def run(batches):
         encode, part, number, total = tokenizer(names), TaskContext.get().partitionId(), 0, 0
         ids, sizes, data = [], [], []
+        first = max(end_id + 1, encode.tokenizer.get_vocab_size())
+        if first >= SYMBOLS:
+            raise ValueError("ids of this vocabulary do not fit 16 bits")
         for batch in batches:
             for doc_id, text in encoded(encode, batch):
                 x = text + end
@@ -125,12 +136,13 @@ def write(docs: DataFrame, vocabulary: str | None = None, path: str | None = Non
                 data.append(x)
                 total += len(x) // 4
                 if total >= shard:
-                    yield row(part, number, ids, sizes, data)
+                    yield row(part, number, first, ids, sizes, data)
                     number, total, ids, sizes, data = number + 1, 0, [], [], []
         if ids:
-            yield row(part, number, ids, sizes, data)
+            yield row(part, number, first, ids, sizes, data)
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(run, FILE).write.option("compression", "zstd").option("parquet.page.size.row.check.min", "1").option("parquet.block.size.row.check.min", "1").parquet(path)
     return path
 
@@ -138,13 +150,13 @@ def write(docs: DataFrame, vocabulary: str | None = None, path: str | None = Non
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the files."""
     ready(spark)
-    files = spark.read.schema(FILE).parquet(path)
+    files = spark.read.schema(FILE).parquet(path).drop("low", "high")
 
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                part, number, ids, sizes, rules, lengths, symbols = (batch.column(i)[r].as_py() for i in range(7))
-                grammar = Grammar(np.frombuffer(rules, "<u2").reshape(-1, 2), np.frombuffer(lengths, "<u4").astype(np.int64))
+                part, number, first, ids, sizes, rules, lengths, symbols = (batch.column(i)[r].as_py() for i in range(8))
+                grammar = _grammar(first, rules, lengths)
                 out = grammar.expand(np.frombuffer(symbols, "<u2")).astype("<u4").tobytes()
                 ends = np.cumsum(np.array(sizes, np.int64)) * 4
                 starts = ends - np.array(sizes, np.int64) * 4
@@ -161,3 +173,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     outside = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("outside"))
     base = shards.join(outside, "part").select("part", "shard", (F.col("inside") + F.col("outside")).alias("base"))
     return found.join(base, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def fetch(spark: SparkSession, path: str, doc_id: int, start: int = 0, stop: int | None = None) -> DataFrame:
+    """doc_id and ids (its ids from start to stop, the end id among them) of each document with this id.
+
+    Only row groups whose ids may hold it are read, and only symbols in reach are expanded.
+    """
+    ready(spark)
+    files = spark.read.schema(FILE).parquet(path).where((F.col("low") <= doc_id) & (F.col("high") >= doc_id))
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                first, ids, sizes, rules, lengths, symbols = (batch.column(i)[r].as_py() for i in range(6))
+                if doc_id not in ids:
+                    continue
+                grammar, packed = _grammar(first, rules, lengths), np.frombuffer(symbols, "<u2")
+                reach, ends = np.cumsum(grammar.length[packed]), np.cumsum(sizes)
+                found = []
+                for i in (i for i, x in enumerate(ids) if x == doc_id):
+                    low = int(ends[i]) - sizes[i]
+                    found.append(grammar.range(packed, reach, low + min(start, sizes[i]), low + min(sizes[i] if stop is None else stop, sizes[i])).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found), pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return files.select("first", "doc_ids", "lengths", "rules", "expansion", "symbols").mapInArrow(run, "doc_id long, ids array<int>")

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from headlight.llm import repair
+from headlight.llm import common, repair
 from tests.llm import fixtures
 from tests.llm.test_packing import brute_ids
 
@@ -42,3 +42,38 @@ def test_goes_on_until_no_pair_is_worth_a_rule():
         assert (repair.Grammar(rules, lengths).expand(symbols) == ids).all()
         pairs = np.unique(symbols[:-1].astype(np.int64) << 16 | symbols[1:], return_counts=True)[1]
         assert len(rules) == repair.SYMBOLS - repair.FIRST_RULE or pairs.max(initial=0) < 4
+
+
+def test_one_document_from_the_files(spark):
+    docs = fixtures.docs(spark)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    path = repair.write(docs, shard=700)
+    for i in (9006, 9002, 9005, 7):
+        ids = [*brute_ids([texts[i]])[0], 1]
+        assert [r["ids"] for r in repair.fetch(spark, path, i).collect()] == [ids]
+        for a, b in ((0, 1), (1, 3), (2, 10**9), (5, 5), (len(ids), len(ids) + 3)):
+            assert [r["ids"] for r in repair.fetch(spark, path, i, a, b).collect()] == [ids[a:b]]
+    assert repair.fetch(spark, path, 9007).count() == 2 and repair.fetch(spark, path, 10**12).count() == 0
+
+
+def test_another_vocabulary(spark):
+    from tokenizers import Tokenizer
+
+    path = common.public_vocabulary("byte_bpe_50k.json")
+    docs = fixtures.docs(spark).where("doc_id > 8000 or doc_id < 20")
+    t = Tokenizer.from_file(path)
+    want = sorted((r["doc_id"], zlib.crc32(np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for r in docs.collect())
+    got = repair.read(spark, repair.write(docs, path)).collect()
+    assert want == sorted((r["doc_id"], r["ids_crc32"]) for r in got)
+    assert not common._splits_at_words(path) and common._splits_at_words(common.public_vocabulary())
+
+
+def test_a_hot_id_is_spread(spark):
+    docs = spark.range(4000).selectExpr("if(id % 3 = 0, id, null) as doc_id", "cast(id * 7919 as string) as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = repair.write(docs, shard=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [r["n"] for r in spark.read.parquet(path).selectExpr("part", "size(doc_ids) as n").groupBy("part").sum("n").withColumnRenamed("sum(n)", "n").collect()]
+    assert max(parts) < 2000 and sum(parts) == 4000
