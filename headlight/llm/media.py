@@ -1,9 +1,10 @@
 """Media columns: Netpbm and BMP bytes to numpy arrays, area-resized by integral images, as NPY tiles with difference hashes.
 
 `decode` reads P1 to P6 (8-bit) and uncompressed BMP of 1, 4, 8, 24 or 32 bits. `store` writes one row per input row:
-the media bytes, an NPY tile and its hash; `load` reads and decodes them. A null payload counts as empty and is padded
-like any other; equal payloads give equal rows; media that cannot be decoded give null tile and hash; extra columns are
-not taken along; an empty table gives an empty result. A row's memory is a few times its own size.
+the media bytes, an NPY tile and its hash; `load` reads media as columns of samples, `digests` their digests. Payloads become
+samples (kinds ppm and bmp; a null payload counts as empty and is padded like any other) or are media themselves (kind as_is; null
+stays null). Equal payloads give equal rows; media that are null or cannot be decoded give null tile, hash, samples and digests;
+extra columns are not taken along; an empty table gives an empty result. A row's memory is a few times its own size.
 """
 
 from __future__ import annotations
@@ -86,6 +87,14 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
+def decoded(data: bytes | None) -> np.ndarray | None:
+    """The samples, or None for what is no such medium, is cut short or says nonsense in its header."""
+    try:
+        return None if data is None else decode(data)
+    except (ValueError, TypeError, IndexError):
+        return None
+
+
 def grey(x: np.ndarray) -> np.ndarray:
     """Integer luma with weights 77, 150 and 29 of 256."""
     return x if x.ndim == 2 else ((x @ np.array([77, 150, 29], np.int64)) >> 8).astype(np.uint8)
@@ -142,11 +151,11 @@ def store(df: DataFrame, key: str, payload: str, kind: str = "ppm", path: str |
                 batch, rows = big.slice(at, 1000), []
                 for x in batch.column(1):
                     raw = x.as_py()
-                    raw = b"" if raw is None else raw.encode("utf-8", "surrogatepass") if isinstance(raw, str) else bytes(raw)
-                    media = wrap(padded(raw), kind)
-                    image = decode(media)
-                    tile = np.round(area_resize(grey(image), TILE, TILE)).astype(np.uint8)
-                    rows.append((len(raw), media, npy(tile), difference_hash(image)))
+                    raw = raw.encode("utf-8", "surrogatepass") if isinstance(raw, str) else raw
+                    media = raw if kind == "as_is" else wrap(padded(raw or b""), kind)
+                    image = decoded(media)
+                    tile = None if image is None else npy(np.round(area_resize(grey(image), TILE, TILE)).astype(np.uint8))
+                    rows.append((len(raw or b""), media, tile, None if image is None else difference_hash(image)))
                 n, media, tiles, hashes = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(tiles, pa.binary()), pa.array(hashes, pa.string())], names=[key, "n_bytes", "media", "tile", "hash"])
 
@@ -155,23 +164,45 @@ def store(df: DataFrame, key: str, payload: str, kind: str = "ppm", path: str |
     return path
 
 
+def load(stored: DataFrame, key: str) -> DataFrame:
+    """key, height, width, depth (3 or 1) and samples (bytes, row by row) of stored media, nulls where they cannot be decoded."""
+    ready(stored.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for x in batch.column(1):
+                image = decoded(x.as_py())
+                rows.append((None,) * 4 if image is None else (*image.shape[:2], 1 if image.ndim == 2 else 3, image.tobytes()))
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[key, "height", "width", "depth", "samples"])
+
+    return stored.select(key, "media").mapInArrow(run, f"{key} {stored.schema[key].dataType.simpleString()}, height int, width int, depth int, samples binary")
+
+
 def digests(stored: DataFrame, key: str) -> DataFrame:
-    """Decodes stored media: payload and media lengths and digests, and the difference hash of what was read."""
+    """Decodes stored media: payload and media lengths and digests, the tile's checksum, and the difference hash of what was read."""
+    ready(stored.sparkSession)
 
     def run(batches):
         for batch in batches:
             rows = []
-            for n, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                media = x.as_py()
-                image = decode(media)
+            for n, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                media, tile = x.as_py(), y.as_py()
+                stored_as = (None, None) if media is None else (len(media), hashlib.sha256(media).hexdigest())
+                if (image := decoded(media)) is None:
+                    rows.append((n, None, None, None, *stored_as, None, None))
+                    continue
                 payload = image.tobytes()
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored_as, difference_hash(image), zlib.crc32(tile)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[key, *NAMES])
 
     kind = stored.schema[key].dataType.simpleString()
-    return stored.select(key, "n_bytes", "media").mapInArrow(run, f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_crc32 long"
+    return stored.select(key, "n_bytes", "media", "tile").mapInArrow(run, f"{key} {kind}, {fields}")
 
 
-NAMES = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+NAMES = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_crc32"]

@@ -48,3 +48,34 @@ def test_stored_documents(spark):
     tile = np.lib.format.read_array(__import__("io").BytesIO(bytes(spark.read.parquet(path).first()["tile"])))
     assert tile.shape == (16, 16) and tile.dtype == np.uint8
     assert media.digests(spark.read.parquet(media.store(fixtures.empty(docs), "doc_id", "text")), "doc_id").count() == 0
+
+
+def brute_means(x, height, width):
+    """Area means by splitting each sample into height x width parts."""
+    big = np.repeat(np.repeat(x.astype(float), height, axis=0), width, axis=1)
+    return big.reshape(height, x.shape[0], width, x.shape[1]).mean(axis=(1, 3))
+
+
+def test_feature_against_brute_force(spark):
+    docs = fixtures.docs(spark).where("doc_id is not null and coalesce(length(text), 0) < 4000")
+    got = {r["doc_id"]: r for r in media.digests(spark.read.parquet(media.store(docs, "doc_id", "text")), "doc_id").collect()}
+    for r in docs.select("doc_id", "text").collect()[::7]:
+        p = (r["text"] or "").encode()
+        p += b" " * (-len(p) % 192 or (0 if p else 192))
+        x = np.frombuffer(p, np.uint8).reshape(-1, 8, 3).astype(int)
+        x = (x @ [77, 150, 29]) >> 8
+        small = np.round(brute_means(x, 8, 9), 6)
+        bits = "".join("1" if b > a else "0" for row in small for a, b in zip(row, row[1:]))
+        assert got[r["doc_id"]]["feature"] == f"{int(bits, 2):016x}"
+
+
+def test_media_that_cannot_be_decoded(spark):
+    good = media.encode_bmp(np.arange(24, dtype=np.uint8).reshape(2, 4, 3))
+    rows = [(1, good), (2, None), (3, b""), (4, b"GIF89a"), (5, good[:40]), (6, b"P6 9 9 255\n123"), (7, b"P5"), (8, b"P2 1 1 255 x"), (9, b"BM"), (10, b"P1 2 2 1")]
+    path = media.store(spark.createDataFrame(rows, "k int, m binary"), "k", "m", "as_is")
+    stored = spark.read.parquet(path)
+    assert {r["k"] for r in stored.where("tile is not null and hash is not null").collect()} == {1}
+    got = {r["k"]: r for r in media.digests(stored, "k").collect()}
+    assert len(got) == 10 and [k for k, r in got.items() if r["payload_sha256"]] == [1] and got[2]["media_bytes"] is None and got[4]["media_bytes"] == 6
+    x = {r["k"]: r for r in media.load(stored, "k").collect()}
+    assert (x[1]["height"], x[1]["width"], x[1]["depth"], bytes(x[1]["samples"])) == (2, 4, 3, bytes(range(24))) and x[6]["samples"] is None
