@@ -1,8 +1,9 @@
 """Quality classifier: random Fourier features of document statistics, ridge regression, isotonic calibration.
 
 Statistics are standardised, mapped by cos(xW + b) to approximate a Gaussian kernel, and partitions sum their normal
-equations; the sums of one matrix row meet in one group of at most one row per partition. Ridge scores are binned (1,024
-bins, all rows) for pool-adjacent-violators. Null and empty texts have all-zero statistics and a score like any other;
+equations by fold; the sums of one matrix row meet in one group of at most one row per partition. The score uses all folds; for
+the calibration each row is scored by the ridge of the other folds, binned (1,024 bins, all rows), and pool-adjacent-violators
+fits the bins. Null and empty texts have all-zero statistics and a score like any other;
 without training rows, or with one class only, every score is that class's share (0.5 without rows). Null labels are not
 used; repeated rows count as often as they occur; extra columns are ignored; an empty table gives an empty result.
 """
@@ -23,7 +24,7 @@ CLASSES = np.zeros((256, len(_groups)), np.float32)
 for _i, _g in enumerate(_groups):
     CLASSES[list(_g), _i] = 1
 N_STATS = len(_groups) + 10
-BINS, LOW, HIGH = 1024, -0.5, 1.5
+BINS, LOW, HIGH, FOLDS = 1024, -0.5, 1.5, 5
 
 
 def _one(text: str | None) -> tuple[np.ndarray, list[float]]:
@@ -84,13 +85,14 @@ class Model:
     def raw(self, stats: np.ndarray) -> np.ndarray:
         return self.expand(stats) @ self.beta
 
-    def bins(self, stats: np.ndarray) -> np.ndarray:
-        return np.clip((self.raw(stats) - LOW) / (HIGH - LOW) * BINS, 0, BINS - 1).astype(np.int64)
+    @staticmethod
+    def bins(raw: np.ndarray) -> np.ndarray:
+        return np.clip((raw - LOW) / (HIGH - LOW) * BINS, 0, BINS - 1).astype(np.int64)
 
     def predict(self, stats: np.ndarray) -> np.ndarray:
         if not len(self.knots):
             return np.full(len(stats), self.share)
-        return self.knots[self.bins(stats)]
+        return self.knots[self.bins(self.raw(stats))]
 
 
 def isotonic(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -110,7 +112,8 @@ def fit(train: DataFrame, width: int = 160, ridge: float = 1e-3, spread: float =
     """train: stats and label (0 or 1) of every labelled training row."""
     spark = train.sparkSession
     ready(spark)
-    train = table(train.select("stats", F.col("label").cast("double").alias("label")).where("label is not null and stats is not null"))
+    fold = F.pmod(F.xxhash64("stats"), F.lit(FOLDS)).cast("int")  # equal rows share a fold
+    train = table(train.select("stats", F.col("label").cast("double").alias("label"), fold.alias("fold")).where("label is not null and stats is not null"))
     moments = train.select(*[F.struct(F.avg(F.col("stats")[i]), F.stddev_pop(F.col("stats")[i])).alias(f"s{i}") for i in range(N_STATS)], F.avg("label").alias("share"), F.count("*").alias("n")).first()
     rng = np.random.default_rng(seed)
     w, b = rng.normal(size=(N_STATS, width)) / np.sqrt(N_STATS) / spread, rng.uniform(0, 2 * np.pi, width)
@@ -121,11 +124,13 @@ def fit(train: DataFrame, width: int = 160, ridge: float = 1e-3, spread: float =
     d = width + 1
 
     def sums(batches):
-        total = np.zeros((d, d + 1))
+        total = np.zeros((FOLDS, d, d + 1))
         for batch in batches:
-            x = model.expand(_matrix(batch.column(0)))
-            total += x.T @ np.hstack([x, np.asarray(batch.column(1), np.float64)[:, None]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d), pa.int32()), pa.array(list(total))], names=["i", "v"])
+            x, y, at = model.expand(_matrix(batch.column(0))), np.asarray(batch.column(1), np.float64)[:, None], np.asarray(batch.column(2))
+            for k in range(FOLDS):
+                mine = x[at == k]
+                total[k] += mine.T @ np.hstack([mine, y[at == k]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FOLDS * d), pa.int32()), pa.array(list(total.reshape(FOLDS * d, d + 1)))], names=["i", "v"])
 
     def add(t: pa.Table) -> pa.Table:
         v = np.asarray(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, d + 1).sum(axis=0)
@@ -133,13 +138,17 @@ def fit(train: DataFrame, width: int = 160, ridge: float = 1e-3, spread: float =
 
     kind = "i int, v array<double>"
     rows = train.mapInArrow(sums, kind).groupBy("i").applyInArrow(add, kind).collect()
-    total = np.array([r["v"] for r in sorted(rows)])
-    model.beta = np.linalg.solve(total[:, :d] + ridge * moments["n"] * np.eye(d) / d, total[:, d])
+    folds = np.array([r["v"] for r in sorted(rows)]).reshape(FOLDS, d, d + 1)
+    solve = lambda t: np.linalg.solve(t[:, :d] + ridge * max(1.0, t[d - 1, d - 1]) * np.eye(d) / d, t[:, d])  # noqa: E731  the last diagonal element is the rows' number
+    total = folds.sum(axis=0)
+    model.beta = solve(total)
+    without = np.array([solve(total - x) for x in folds])
 
     def binned(batches):
         out = np.zeros((2, BINS))
         for batch in batches:
-            at = model.bins(_matrix(batch.column(0)))
+            raw = np.einsum("ij,ij->i", model.expand(_matrix(batch.column(0))), without[np.asarray(batch.column(2))])
+            at = model.bins(raw)
             np.add.at(out[0], at, np.asarray(batch.column(1), np.float64))
             np.add.at(out[1], at, 1)
         used = np.flatnonzero(out[1])
