@@ -3,9 +3,10 @@
 Payloads are cut into chunks that are views of the input row's buffer; digests are carried from chunk to chunk, so
 neither writing nor reading allocates a whole record. Each chunk row carries the SHA-1 of its record's payload so far.
 Of records with equal payloads of at least `least` bytes the one with the smallest id is a response, the others are
-revisits without a payload. A null payload is empty; each row is a record, so rows that repeat the smallest id with the same
-payload are all responses; a null id is written as an empty one, always as a response, and never referred to; extra columns
-are ignored; an empty table gives an empty archive.
+revisits without a payload. A record's block is an HTTP message, whose header carries the page's id and the payload's length. A
+null payload is empty; each row is a record with an id of its own, so rows that repeat the smallest id with the same payload are
+all responses; a null page id is left out of the header, its record always a response and never referred to; the target of a page
+without a url is `urn:page:` and its id; extra columns are ignored; an empty table gives an empty archive.
 
 A record whose chunks a file split cuts apart is read again through a shuffle by record; others are read in place.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,14 +46,19 @@ def parse_header(block: bytes) -> dict[str, str]:
     return dict(line.split(": ", 1) for line in block.decode().split("\r\n")[1:] if ": " in line)
 
 
-def _fields(page_id, url: str | None, refers_to, length: int, digest: bytes, date: str) -> list[tuple[str, object]]:
-    revisit = refers_to is not None
-    uri = "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
-    out = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", date)]
-    out += [("WARC-Target-URI", uri)] if uri else []
-    out += [("WARC-Payload-Digest", f"sha1:{base32(digest)}"), ("WARC-Payload-Length", length)]
-    out += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", PROFILE)] if revisit else []
-    return [*out, ("Content-Type", "text/html"), ("Content-Length", 0 if revisit else length)]
+def _uri(url: str | None, page_id) -> str:
+    return "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "") or f"urn:page:{'' if page_id is None else page_id}"
+
+
+def _head(place: tuple[int, int], page_id, url: str | None, refers_to, refers_url: str | None, length: int, digest: bytes, date: str) -> bytes:
+    """The WARC header and the HTTP header of a record."""
+    revisit, same = refers_to is not None, [] if page_id is None else [("X-Page-Id", page_id)]
+    same += [("X-Same-As-Page-Id", refers_to)] if revisit else []
+    http = ("HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", length), *same]) + "\r\n").encode()
+    out = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{date}/{place}/{page_id}')}>"), ("WARC-Date", date), ("WARC-Target-URI", _uri(url, page_id))]
+    out += [("WARC-Payload-Digest", f"sha1:{base32(digest)}")]
+    out += [("WARC-Refers-To-Target-URI", _uri(refers_url, refers_to)), ("WARC-Refers-To-Date", date), ("WARC-Profile", PROFILE)] if revisit else []
+    return header([*out, ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(http) + (0 if revisit else length))]) + http
 
 
 def write(pages: DataFrame, path: str | None = None, least: int = 0, chunk: int = CHUNK, date: str = "2024-01-01T00:00:00Z") -> str:
@@ -61,22 +68,23 @@ def write(pages: DataFrame, path: str | None = None, least: int = 0, chunk: int
     path = path or scratch(spark)
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     keyed = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
-    keys = table(keyed.where(F.length("payload") >= least).select("page_id", "digest"))
-    first = table(keys.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1"))
-    revisits = table(keys.join(first, "digest").where("page_id <> first_id").select("page_id", "digest", "first_id").distinct())
+    keys = table(keyed.where(F.length("payload") >= least).select("page_id", "digest", "url"))
+    first = keys.where("page_id is not null").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("copies"))
+    revisits = keys.select("page_id", "digest").join(table(first.where("copies > 1")), "digest")
+    revisits = table(revisits.where("page_id <> first_id").select("page_id", "digest", "first_id", "first_url").distinct())
     if revisits.count() <= BROADCAST_ROWS:
         revisits = F.broadcast(revisits)
-    rows = keyed.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "first_id", F.unhex("digest").alias("digest"))
+    rows = keyed.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "first_id", F.unhex("digest").alias("digest"), "first_url")
 
     def run(batches):
         archive, record = TaskContext.get().partitionId(), 0
         for batch in batches:
             out: list[tuple] = []
             held = 0
-            ids, urls, refers, digests = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
+            ids, urls, refers, digests, others = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
             for i, value in enumerate(batch.column(2)):
                 view = memoryview(value.as_buffer())
-                head = header(_fields(ids[i], urls[i], refers[i], len(view), digests[i], date))
+                head = _head((archive, record), ids[i], urls[i], refers[i], others[i], len(view), digests[i], date)
                 if refers[i] is not None:
                     view = view[:0]
                 out.append((archive, record, 0, False, head, hashlib.sha1().digest()))
@@ -107,8 +115,7 @@ _kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(
 
 
 def _id(field: str | None) -> int | None:
-    inner = (field or "")[len("<urn:page:") : -1]
-    return int(inner) if inner else None
+    return int(field) if field else None
 
 
 def _read(batches):
@@ -125,7 +132,9 @@ def _read(batches):
         for i, data in enumerate(batch.column(4)):
             if chunks[i] == 0:
                 cut()
-                key, expect, head, sha, length, ok = (archives[i], records[i]), 1, parse_header(data.as_py()), hashlib.sha1(), 0, True
+                outer, _, inner = data.as_py().partition(b"\r\n\r\n")
+                key, expect, sha, length, ok = (archives[i], records[i]), 1, hashlib.sha1(), 0, True
+                head = parse_header(outer) | {f"http {k}": v for k, v in parse_header(inner).items()} | {"http": len(inner)}
                 continue
             if key != (archives[i], records[i]) or chunks[i] != expect:
                 cut()
@@ -142,8 +151,9 @@ def _read(batches):
                 else:
                     revisit = head["WARC-Type"] == "revisit"
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    ok = ok and int(head["Content-Length"]) == length and (revisit or digest == base32(sha.digest()))
-                    out.append((*key, True, _id(head["WARC-Record-ID"]), int(head["WARC-Payload-Length"]), digest if revisit else base32(sha.digest()), head["WARC-Type"], _id(head.get("WARC-Refers-To")), ok))
+                    size = int(head["http Content-Length"])
+                    ok = ok and int(head["Content-Length"]) == head["http"] + length and (revisit or (digest, size) == (base32(sha.digest()), length))
+                    out.append((*key, True, _id(head.get("http X-Page-Id")), size, digest if revisit else base32(sha.digest()), head["WARC-Type"], _id(head.get("http X-Same-As-Page-Id")), ok))
                 key = None
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _kinds, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
@@ -175,16 +185,27 @@ def export(spark: SparkSession, path: str, archive: int) -> Iterator[bytes]:
         yield bytes(row["bytes"])
 
 
+def _block(stream: io.BufferedIOBase) -> bytes:
+    """A header up to its empty line."""
+    out = []
+    while (line := stream.readline()) not in (b"\r\n", b""):
+        out.append(line)
+    return b"".join(out)
+
+
 def parse(stream: io.BufferedIOBase, chunk: int = CHUNK) -> Iterator[tuple[dict[str, str], int, str]]:
-    """(headers, payload length, base32 SHA-1) of each record of a WARC file, reading at most `chunk` bytes at a time."""
+    """(headers, payload length, base32 SHA-1) of each record of a WARC file, reading at most `chunk` bytes at a time.
+
+    The payload of an HTTP message is what follows its header.
+    """
     while line := stream.readline():
         if line == b"\r\n":
             continue
-        block = [line]
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            block.append(line)
-        head, sha = parse_header(b"".join(block)), hashlib.sha1()
-        left = length = int(head["Content-Length"])
+        head, sha = parse_header(line + _block(stream)), hashlib.sha1()
+        left = int(head["Content-Length"])
+        if head.get("Content-Type", "").startswith("application/http"):
+            left -= len(_block(stream)) + 2
+        length = left
         while left:
             data = stream.read(min(chunk, left))
             if not data:
