@@ -36,3 +36,23 @@ HOOKS = [
     ("secret|exposed|truth about", "Curiosity-gap wording detected."), (r"\b(top|best|worst)\s+[0-9]+\b|\b[0-9]+\s+reasons\b", "Listicle hype pattern detected."),
     ("!+|[?]+", "Emphatic punctuation suggests sensational framing."),
 ]
+#: Errors of a fetched page; %s is its status.
+STATUS_ERRORS = {
+    "blocked": "The site blocked our request (HTTP %s). Many large news sites sit behind bot protection that refuses automated readers.",
+    "limited": "The site is rate-limiting automated requests (HTTP 429). Try again in a little while.", "failed": "Failed to fetch article: HTTP %s",
+    "no_html": "The address is not an HTML page.",
+}
+ACQUIRE_ERRORS = {
+    "robots": "This site disallows automated fetching in its robots.txt, and no readable archive copy was available.",
+    "none": "Could not extract a readable article (tried direct fetch, AMP, headless browser, and web archive).", "hint": " A public archive snapshot exists: ",
+    "body": "Could not extract enough article body text.",
+}
+#: Address ranges that must not be fetched, by the names that the first engine gives them; IPv6 below IPv4. Multicast may be.
+UNSAFE_RANGES = {
+    "unspecified": "0.0.0.0/8 ::/128", "broadcast": "255.255.255.255/32", "linkLocal": "169.254.0.0/16 fe80::/10", "loopback": "127.0.0.0/8 ::1/128", "carrierGradeNat": "100.64.0.0/10",
+    "private": "10.0.0.0/8 172.16.0.0/12 192.168.0.0/16", "uniqueLocal": "fc00::/7",
+    "reserved": "192.0.0.0/24 192.0.2.0/24 192.88.99.0/24 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 240.0.0.0/4 2001:db8::/32",
+}
+#: The second engine: selectors of the body's blocks, labels of entity groups, and its engine's name without a model.
+BLOCK_SELECTORS = ["article", "main", "[role='main']", ".post-content", ".entry-content"]
+ENTITY_LABELS = "ORG PERSON GPE DATE PRODUCT MONEY EVENT NORP".split()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,8 +33,13 @@ def clamp(c: Column, low: int = 0, high: int = 100) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(normalize_space(c)), "[^a-z0-9]+", " "), " "), "")
+    """Lower-cased runs of ASCII letters and digits; what white space is does not matter, as no other character is in a token."""
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), "")
+
+
+def bind(value: Column, use) -> Column:
+    """use(value) with value computed once, also within lambdas, where nothing else shares a common expression."""
+    return F.transform(F.array(value), use)[0]
 
 
 def content_set(toks: Column) -> Column:
@@ -48,10 +55,20 @@ def sanitize(c: Column) -> Column:
     return normalize_space(F.regexp_replace(normalize_space(c), r"[{}\[\]\"]+", " "))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def count_of(c: Column, characters: str) -> Column:
+    """How many characters of c are among these."""
+    return F.length(c) - F.length(F.translate(c, characters, ""))
+
+
 def is_noisy(c: Column) -> Column:
-    low, n = F.lower(c), F.greatest(F.length(c), F.lit(1))
-    marks = sum((F.contains(low, F.lit(x)).cast("int") for x in NOISE), F.lit(0))
-    return (F.length(c) == 0) | (marks >= 2) | (F.regexp_count(c, F.lit(r"[{}\[\]\"=:;,_]")) / n > 0.12) | (F.regexp_count(c, F.lit("[A-Za-z]")) / n < 0.45)
+    n = F.greatest(F.length(c), F.lit(1))
+    marks = lambda low: sum((F.contains(low, F.lit(x)).cast("int") for x in NOISE), F.lit(0)) >= 2
+    # Most texts have none of the markers: one search for any of them comes before the thirteen.
+    marked = bind(F.lower(c), lambda low: low.rlike("|".join(NOISE)) & marks(low))
+    return (F.length(c) == 0) | (count_of(c, '{}[]"=:;,_') / n > 0.12) | (count_of(c, LETTERS) / n < 0.45) | marked
 
 
 def is_readable(c: Column) -> Column:
@@ -73,7 +90,42 @@ def read_minutes(words: Column, even: bool = False) -> Column:
 
 
 def snippet(body: Column) -> Column:
-    return F.coalesce(F.nullif(F.substring(body, 1, 300), F.lit("")), F.lit("Body text was unavailable."))
+    return F.coalesce(F.nullif(F.substring(normalize_space(body), 1, 300), F.lit("")), F.lit("Body text was unavailable."))
+
+
+def snippet_dots(body: Column) -> Column:
+    """The second engine's: 420 characters, and dots where the body is longer."""
+    return F.concat(F.substring(normalize_space(body), 1, 420), F.when(F.length(body) > 420, "...").otherwise(""))
+
+
+def word_count(c: Column) -> Column:
+    """Runs of Unicode word characters: letters, numerals of any kind and the underscore."""
+    return F.regexp_count(c, F.lit(r"[\p{L}\p{N}_]+"))
+
+
+def gauge_offset(score: Column) -> Column:
+    """The part of a circle of radius 52 that a score leaves open."""
+    return F.lit(2 * math.pi * 52) * (1 - clamp(score) / 100)
+
+
+def fixed(c: Column, digits: int = 3, even: bool = False) -> Column:
+    """A number with so many places, rounded by its exact binary value; ties go up, or to the even digit as the second engine has it.
+
+    (Java's formatting rounds the shortest decimal form instead.) The product's rounding error is had by splitting the factor.
+    """
+    scale, x = 10**digits, F.abs(c.cast("double"))
+    high = F.lit(134_217_729.0) * x - (F.lit(134_217_729.0) * x - x)
+    error = high * scale - x * scale + (x - high) * scale
+    whole = F.floor(x * scale)
+    part = x * scale - whole
+    tie = (whole % 2 == 1) if even else F.lit(True)
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & tie)))
+    n = whole + up.cast("long")
+    return F.concat(F.when(c < 0, "-").otherwise(""), F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))
+
+
+def yes_no(c: Column) -> Column:
+    return F.when(c, "Yes").otherwise("No")
 
 
 def escape_html(c: Column) -> Column:

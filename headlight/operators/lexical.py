@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,18 @@ def polarity() -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (pos - neg) / F.greatest(F.lit(1), pos + neg)))
 
 
+def with_polarity(df: DataFrame, title: str = "title") -> DataFrame:
+    """df with polarity, from the title alone."""
+    return df.withColumn("t_tok", T.tokens(F.col(title))).withColumn("polarity", polarity()).drop("t_tok")
+
+
 def hits(patterns: list[tuple[str, str]]) -> list[Column]:
-    return [F.col("t_low").rlike(T.ascii_edges(p)) for p, _ in patterns]
+    return [_find(F.col("t_low"), p) for p, _ in patterns]
+
+
+def _find(text: Column, pattern: str) -> Column:
+    """A pattern without special characters is a plain search."""
+    return F.contains(text, F.lit(pattern)) if re.fullmatch(r"[a-z0-9 '%]+", pattern) else text.rlike(T.ascii_edges(pattern))
 
 
 def hit_count(patterns: list[tuple[str, str]]) -> Column:
@@ -35,16 +48,16 @@ def hit_count(patterns: list[tuple[str, str]]) -> Column:
 
 
 def bang_points() -> Column:
-    return F.least(F.lit(W["bang_cap"]), W["mark"] * F.regexp_count("t_norm", F.lit("!")))
+    return F.least(F.lit(W["bang_cap"]), W["mark"] * T.count_of(F.col("t_norm"), "!"))
 
 
 def ask_points() -> Column:
-    return F.least(F.lit(W["ask_cap"]), W["mark"] * F.regexp_count("t_norm", F.lit("[?]")))
+    return F.least(F.lit(W["ask_cap"]), W["mark"] * T.count_of(F.col("t_norm"), "?"))
 
 
 def upper_ratio() -> Column:
-    letters = F.regexp_count("t_norm", F.lit("[A-Za-z]"))
-    return F.when(letters == 0, F.lit(0.0)).otherwise(F.regexp_count("t_norm", F.lit("[A-Z]")) / letters)
+    letters = T.count_of(F.col("t_norm"), T.LETTERS)
+    return F.when(letters == 0, F.lit(0.0)).otherwise(T.count_of(F.col("t_norm"), T.LETTERS[26:]) / letters)
 
 
 def upper_hit() -> Column:
@@ -58,9 +71,10 @@ def length_hit() -> Column:
 
 def teaser_hit() -> Column:
     in_title = [F.col("t_low").rlike(T.EDGE_L + w + T.EDGE_R) for w in TEASERS]
-    echoed = [h & F.col("b_low").rlike(T.EDGE_L + w + T.EDGE_R) for h, w in zip(in_title, TEASERS, strict=True)]
-    some = lambda xs: F.array_contains(F.array(*xs), True)
-    return (F.length("b_raw") > 200) & some(in_title) & ~some(echoed)
+    # A body is searched only for words that are in its title; ASCII words of a body are its tokens, but for underscores.
+    some = reduce(Column.__or__, in_title)
+    echoed = reduce(Column.__or__, [h & F.col("b_low").rlike(T.EDGE_L + w + T.EDGE_R) for h, w in zip(in_title, TEASERS, strict=True)])
+    return (F.length("b_raw") > 200) & F.when(some, ~echoed).otherwise(False)
 
 
 def verdict(score: Column) -> Column:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from headlight.functions import text as T
-from headlight.functions.lexicons import GAP_AT, HOOKS, TONE_AT
+from headlight.functions.lexicons import GAP_AT, HOOKS, STOPWORDS, TONE_AT
 
 DIMS = 384
+_word = re.compile("[a-z0-9]+")
 
 
 def hash_embedding(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -22,12 +29,45 @@ def hash_embedding(df: DataFrame, key: str, text: str) -> DataFrame:
     return sums.join(norms, key).select(key, "dim", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def hash_cosine(df: DataFrame, key: str, title: str, body: str) -> DataFrame:
-    """(key, cosine) by an equi-join on (key, dim); 0 where either text has no content."""
-    a = hash_embedding(df, key, title)
-    b = hash_embedding(df.withColumn(body, F.substring(body, 1, 6000)), key, body).withColumnRenamed("weight", "other")
-    dot = a.join(b, [key, "dim"]).groupBy(key).agg(F.sum(F.col("weight") * F.col("other")).alias("dot"))
-    return df.select(key).join(dot, key, "left").select(key, F.round(F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "dot")), F.lit(0.0)), 6).alias("cosine"))
+class _Weights(dict):
+    """token -> (dim, weight in thousandths), remembered up to a bound."""
+
+    def __missing__(self, token: str) -> tuple[int, int]:
+        if len(self) > 200_000:
+            self.clear()
+        digest = hashlib.sha256(token.encode()).digest()
+        self[token] = found = int.from_bytes(digest[:4], "big") % DIMS, 1000 + int.from_bytes(digest[4:8], "big") % 1000
+        return found
+
+
+_weights, _stop = _Weights(), frozenset(STOPWORDS)
+
+
+def _vector(text: str | None) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for token in _word.findall((text or "").lower()):
+        if token not in _stop:
+            dim, weight = _weights[token]
+            out[dim] = out.get(dim, 0) + weight
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def _hash_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    def one(x: str | None, y: str | None) -> float:
+        u, v = _vector(x), _vector(y)
+        dot, norm = sum(n * v[k] for k, n in u.items() if k in v), math.sqrt(sum(n * n for n in u.values())) * math.sqrt(sum(n * n for n in v.values()))
+        return max(-1.0, min(1.0, dot / norm)) if norm else 0.0
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def hash_cosine(title: Column, body: Column) -> Column:
+    """Cosine of the sparse hashed vectors of two texts of one row, to six places: one Arrow pass, no shuffle; 0 where either has no content.
+
+    Sums are whole thousandths, so they do not depend on the order of tokens. `hash_embedding` gives the vectors as rows.
+    """
+    return F.round(_hash_cosine(title, F.substring(body, 1, 6000)), 6)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -55,7 +95,7 @@ def composite(df: DataFrame, title: str, cosine_col: str, polarity_col: str) ->
     d = d.withColumn("verdict", v)
     text = F.when(F.col("verdict") == "Clickbait", "High risk of clickbait/deceptive framing (score ").when(F.col("verdict") == "Sensationalist", "Headline appears emotionally exaggerated (score ")
     text = text.when(F.col("verdict") == "Borderline", "Mixed signals detected. Review article context carefully (score ").otherwise("Headline/body alignment appears mostly legitimate (score ")
-    signals = [F.when(gap, F.format_string("Semantic gap detected: cosine similarity %.3f is below 0.35.", sim)), F.when(tone, F.format_string("Strong headline sentiment: polarity %.3f exceeds +/-0.50.", pol))]
+    signals = [F.when(gap, F.concat(F.lit("Semantic gap detected: cosine similarity "), T.fixed(sim, even=True), F.lit(" is below 0.35."))), F.when(tone, F.concat(F.lit("Strong headline sentiment: polarity "), T.fixed(pol, even=True), F.lit(" exceeds +/-0.50.")))]
     signals += [F.when(h, x) for h, (_, x) in zip(found, HOOKS, strict=True)]
     rounded = {k: F.bround(F.col(k), 1) for k in parts}
     return d.withColumns({"summary": F.concat(text, s.cast("string"), F.lit("/100).")), "signals": F.slice(F.array_compact(F.array(*signals)), 1, 8), **rounded})

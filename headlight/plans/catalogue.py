@@ -9,7 +9,8 @@ from headlight.functions import text as T
 from headlight.functions import urls as U
 from headlight.functions.lexicons import BAIT, BOILERPLATE, CUES, DECEPTION, HOOKS, NEGATIVE, NOISE, POSITIVE, SIGNALS, STOPWORDS, TEASERS
 from headlight.operators import enrich, lexical, semantic, traffic
-from headlight.plans import report
+from headlight.plans import cases, report
+from headlight.sources import html
 from headlight.sources.html import articles
 
 QUERIES: dict = {}
@@ -40,7 +41,7 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def headlines(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, lang, raw (the first line), title (templated by id, so that every signal occurs) and body (the rest)."""
     d = read(spark, sf, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("raw", F.split("text", "\n")[0]).withColumn("body", F.expr("substring(text, length(raw) + 2)"))
+    d = d.withColumn("raw", F.substring_index("text", "\n", 1)).withColumn("body", F.expr("substring(text, length(raw) + 2)"))
     title, k = F.col("raw"), F.col("doc_id") % 12
     title = F.when(k == 9, F.concat("raw", F.lit("!"))).when(k == 11, F.translate("raw", LOWER, UPPER)).otherwise(title)
     for i, t in TEMPLATES.items():
@@ -110,12 +111,12 @@ def stopword_filtered_counts(spark, sf):
 
 @query(rf"""select doc_id, {count(TEXT, r'\b\d+(?:\.\d+)?%?\b')} as claims, {count("coalesce(string_split(text, chr(10))[1], '') || ' ' || substr(substr(coalesce(text, ''), length(coalesce(string_split(text, chr(10))[1], '')) + 2), 1, 1800)", r'\b\d+(?:[.,]\d+)?\b')} as claims_both from documents""")
 def numeric_claims(spark, sf):
-    d = _docs(spark, sf, text=F.col("text"), head=F.split("text", "\n")[0])
+    d = _docs(spark, sf, text=F.col("text"), head=F.substring_index("text", "\n", 1))
     return d.select("doc_id", T.numeric_claims(F.col("text")).alias("claims"), T.numeric_claims_both(F.col("head"), F.expr("substring(text, length(head) + 2)")).alias("claims_both"))
 
 
 @query(f"""select doc_id, greatest(1, round(len({toks('text')}) / 220.0)::int) as minutes, greatest(1, round_even(len({toks('text')}) / 220.0, 0)::int) as minutes_even,
-  case when substr({TEXT}, 1, 300) = '' then 'Body text was unavailable.' else substr({TEXT}, 1, 300) end as snippet, replace(replace(replace(replace({TEXT}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as escaped from documents""")
+  case when substr({norm('text')}, 1, 300) = '' then 'Body text was unavailable.' else substr({norm('text')}, 1, 300) end as snippet, replace(replace(replace(replace({TEXT}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as escaped from documents""")
 def read_time_and_snippet(spark, sf):
     n = F.size(T.tokens(F.col("text")))
     return _docs(spark, sf, minutes=T.read_minutes(n), minutes_even=T.read_minutes(n, even=True), snippet=T.snippet(F.col("text")), escaped=T.escape_html(F.col("text")))
@@ -223,8 +224,15 @@ c as (select doc_id, tok, count(*) as n, min(pos) as f from e where length(tok)
 r as (select *, row_number() over (partition by doc_id order by n desc, f) as r from c)
 select d.doc_id, coalesce(k.s, '') as key_phrases from documents d left join (select doc_id, string_agg(tok, ' ' order by r) as s from r where r <= 8 group by doc_id) k using (doc_id)""")
 def key_phrases(spark, sf):
-    d = enrich.key_phrases(read(spark, sf, "documents"), "doc_id", F.col("text"))
-    return d.select("doc_id", F.array_join("key_phrases", " ").alias("key_phrases"))
+    return read(spark, sf, "documents").select("doc_id", F.array_join(enrich.key_phrases(F.col("text")), " ").alias("key_phrases"))
+
+
+@query(f"""with t as (select doc_id, {toks("substr(text, 1, 6000)")} as w from documents), e as (select doc_id, unnest(w) as tok, generate_subscripts(w, 1) as pos from t),
+c as (select doc_id, tok, count(*) as n, min(pos) as f from e where length(tok) > 3 and regexp_full_match(tok, '[a-z]+') and not list_contains({sql_list(STOPWORDS)}, tok) group by all),
+r as (select *, row_number() over (partition by doc_id order by n desc, f) as r from c)
+select d.doc_id, coalesce(k.s, '') as key_phrases from documents d left join (select doc_id, string_agg(tok, ' ' order by r) as s from r where r <= 8 group by doc_id) k using (doc_id)""")
+def body_phrases(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.array_join(enrich.body_phrases(F.col("text")), " ").alias("key_phrases"))
 
 
 @query(rf"""with {HEAD}, e as (select doc_id, list_transform(regexp_extract_all(raw || '. ' || substr(body, 1, 2200), '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,2}})\b'), lambda x: {norm('x')}) as xs from h),
@@ -255,7 +263,7 @@ def overlap_sentences(spark, sf):
 
 EMB = lambda name, src: f"""{name}0 as (select doc_id, unnest({content(toks(src))}) as tok from h), {name}1 as (select doc_id, ('0x' || substr(sha256(tok), 1, 8))::bigint % 384 as dim, sum(1000 + ('0x' || substr(sha256(tok), 9, 8))::bigint % 1000)::double / 1000 as w from {name}0 group by all),
 {name} as (select doc_id, dim, w / sqrt(sum(w * w) over (partition by doc_id)) as weight from {name}1)"""
-COS = f"{EMB('a', 'title')}, {EMB('b', 'substr(body, 1, 6000)')}, dot as (select a.doc_id, sum(a.weight * b.weight) as dot from a join b using (doc_id, dim) group by all), cos as (select h.doc_id, round(coalesce(greatest(-1.0, least(1.0, dot)), 0.0), 6) as cosine from h left join dot using (doc_id))"
+COS = f"{EMB('a', 'title')}, {EMB('b', 'substr(body, 1, 6000)')}, dot as (select a.doc_id, sum(a.weight * b.weight) as dot from a join b using (doc_id, dim) group by all), cos as (select h.doc_id, round(greatest(-1.0, least(1.0, coalesce(dot, 0.0))), 6) as cosine from h left join dot using (doc_id))"
 
 
 @query(f"with {HEAD}, {EMB('a', 'title')} select doc_id, dim, round(weight, 6) as weight from a")
@@ -265,7 +273,7 @@ def hash_embedding(spark, sf):
 
 @query(f"with {HEAD}, {COS} select doc_id, cosine from cos")
 def hash_cosine(spark, sf):
-    return semantic.hash_cosine(headlines(spark, sf), "doc_id", "title", "body")
+    return headlines(spark, sf).select("doc_id", semantic.hash_cosine(F.col("title"), F.col("body")).alias("cosine"))
 
 
 @query("select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
@@ -278,26 +286,65 @@ def vector_cosine(spark, sf):
 HOOK = "least(35, 12 * (" + " + ".join(f"regexp_matches(lower(title), {q(p)})::int" for p, _ in HOOKS) + ")) / 100.0::double"
 
 
-@query(f"""with {HEAD}, {PREP}, {COS}, x as (select doc_id, title, cosine as sim, {POL} as pol, {HOOK} as hook from p join cos using (doc_id)),
+SEMANTIC = f"""x as (select doc_id, title, cosine as sim, {POL} as pol, {HOOK} as hook from p join cos using (doc_id)),
 y as (select *, case when sim < 0.35 then least(1.0, (0.35::double - sim) / 0.35::double) else 0.0 end * 58 as gap_part, least(1.0, abs(pol)) * 28 as sentiment_part, hook * 40 as hook_part, case when sim < 0.35 and abs(pol) > 0.5 then 8.0 else 0.0 end as synergy_part from x),
-z as (select *, greatest(0, least(100, round_even(gap_part + sentiment_part + hook_part + synergy_part, 0)::int)) as score from y)
-select doc_id, score, case when sim < 0.35 and abs(pol) > 0.5 and score >= 65 then 'Clickbait' when abs(pol) > 0.5 and score >= 45 then 'Sensationalist' when score >= 35 or sim < 0.35 then 'Borderline' else 'Legitimate' end as verdict from z""")
+z0 as (select *, greatest(0, least(100, round_even(gap_part + sentiment_part + hook_part + synergy_part, 0)::int)) as score from y),
+z as (select *, case when sim < 0.35 and abs(pol) > 0.5 and score >= 65 then 'Clickbait' when abs(pol) > 0.5 and score >= 45 then 'Sensationalist' when score >= 35 or sim < 0.35 then 'Borderline' else 'Legitimate' end as verdict from z0)"""
+SEM_SUMMARY = """case verdict when 'Clickbait' then 'High risk of clickbait/deceptive framing (score ' when 'Sensationalist' then 'Headline appears emotionally exaggerated (score '
+  when 'Borderline' then 'Mixed signals detected. Review article context carefully (score ' else 'Headline/body alignment appears mostly legitimate (score ' end || score || '/100).'"""
+SUMMARY = """case when score >= 70 then 'This article headline shows strong clickbait/deceptive signals.' when score >= 40 then 'This article has some clickbait characteristics. Read carefully before trusting the framing.'
+  else 'This headline appears relatively neutral with limited clickbait signals.' end"""
+BUCKET = "case when verdict = 'Clickbait' then 'risky' when verdict in ('Sensationalist', 'Borderline') then 'warning' else 'safe' end"
+HOOK_SQL = ", ".join(f"case when regexp_matches(lower(title), {q(p)}) then {q(x)} end" for p, x in HOOKS)
+
+
+@query(f"with {HEAD}, {PREP}, {COS}, {SEMANTIC} select doc_id, score, verdict from z")
 def semantic_composite(spark, sf):
-    return report.score_semantic(headlines(spark, sf), "doc_id").select("doc_id", "score", "verdict")
+    return report.score_semantic(headlines(spark, sf)).select("doc_id", "score", "verdict")
+
+
+@query(f"""with {HEAD}, {PREP}, {COS}, {SEMANTIC} select doc_id, {SEM_SUMMARY} as summary, round_even(gap_part, 1) as gap_part, round_even(sentiment_part, 1) as sentiment_part, round_even(hook_part, 1) as hook_part, synergy_part::double as synergy_part,
+  array_to_string(list_filter([case when sim < 0.35 then printf('Semantic gap detected: cosine similarity %.3f is below 0.35.', sim) end, case when abs(pol) > 0.5 then printf('Strong headline sentiment: polarity %.3f exceeds +/-0.50.', pol) end, {HOOK_SQL}], lambda x: x is not null)[1:8], ' | ') as signals from z""")
+def semantic_report(spark, sf):
+    d = report.score_semantic(headlines(spark, sf))
+    return d.select("doc_id", "summary", "gap_part", "sentiment_part", "hook_part", "synergy_part", F.array_join("signals", " | ").alias("signals"))
 
 
-@query()
+@query(f"""{ALL}, {COS}, {SEMANTIC}, u as (select doc_id, 'node-heuristic' as engine, score, {VERDICT} as verdict, {SUMMARY} as summary from s union all select doc_id, 'python-nlp (hash)', score, verdict, {SEM_SUMMARY} from z)
+select *, {BUCKET} as bucket from u""")
 def engine_union(spark, sf):
-    return report.union_engines(headlines(spark, sf), "doc_id")
+    return report.union_engines(headlines(spark, sf), "doc_id").drop("signals")
+
+
+@query(f"{ALL} select doc_id, {SUMMARY} as summary from s")
+def score_summary(spark, sf):
+    return lexical.score(headlines(spark, sf)).select("doc_id", "summary")
+
+
+places = lambda x: f"round(printf('%.30f', {x})::decimal(38, 30), 3)::decimal(20, 3)::varchar"
+
+
+@query(f"{ALL} select doc_id, {places('similarity')} as similarity, {places('polarity')} as polarity, case when similarity < 0.35 or none then 'Yes' else 'No' end as semantic_gap, round(2 * pi() * 52 * (1 - score / 100.0::double), 6) as gauge from s")
+def display_values(spark, sf):
+    d = lexical.score(headlines(spark, sf))
+    return d.select("doc_id", T.fixed(F.col("similarity")).alias("similarity"), T.fixed(F.col("polarity")).alias("polarity"), T.yes_no(F.col("semantic_gap")).alias("semantic_gap"), F.round(T.gauge_offset(F.col("score")), 6).alias("gauge"))
+
+
+@query(rf"""select doc_id, {count(TEXT, r'[\p{L}\p{N}_]+'.replace('{L}', '{{L}}').replace('{N}', '{{N}}'))} as words, substr({norm('text')}, 1, 420) || case when length({TEXT}) > 420 then '...' else '' end as snippet from documents""".replace("{{", "{").replace("}}", "}"))
+def second_text_counts(spark, sf):
+    return _docs(spark, sf, words=T.word_count(F.col("text")), snippet=T.snippet_dots(F.col("text")))
 
 
 # ---- urls and pages -------------------------------------------------------------------------------------------------------
 
-URL_NORM = r"regexp_replace(lower(case when regexp_matches(url, '^(?i)https?://[^/?#]+') then regexp_replace(url, '[?#].*$', '') else url end), '/+$', '')"
-URL_HOST = r"lower(regexp_replace(regexp_extract(url, '^(?i)https?://([^/?#]+)', 1), '^.*@|:[0-9]+$', ''))"
+AUTH = "string_split(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1), '@')[-1]"
+URL_HOST = f"case when regexp_matches(url, '^(?i)https?://') then lower(split_part({AUTH}, ':', 1)) else case when url is not null then '' end end"
+NETLOC = "replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', '')"
+URL_NORM = rf"""rtrim(lower(case when regexp_matches(url, '^(?i)https?://[^/?#]') then split_part(url, '://', 1) || '://' || split_part({AUTH}, ':', 1)
+  || case when split_part({AUTH}, ':', 2) in ('', case when lower(url) like 'https%' then '443' else '80' end) then '' else ':' || split_part({AUTH}, ':', 2) end || regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) else url end), '/')"""
 
 
-@query(f"select page_id, {URL_NORM} as url_norm, {URL_HOST} as host, replace({URL_HOST}, 'www.', '') as domain from pages")
+@query(f"select page_id, {URL_NORM} as url_norm, {URL_HOST} as host, {NETLOC} as domain from pages")
 def url_parts(spark, sf):
     u = F.col("url")
     return read(spark, sf, "pages").select("page_id", U.normalize_url(u).alias("url_norm"), U.host(u).alias("host"), U.domain(u).alias("domain"))
@@ -308,7 +355,7 @@ def url_dedupe(spark, sf):
     return read(spark, sf, "pages").groupBy(U.normalize_url(F.col("url")).alias("url_norm")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
 
 
-@query(f"select replace({URL_HOST}, 'www.', '') as domain, count(*) as n, sum(length(html))::bigint as chars from pages group by all")
+@query(f"select {NETLOC} as domain, count(*) as n, sum(length(html))::bigint as chars from pages group by all")
 def domain_counts(spark, sf):
     return read(spark, sf, "pages").groupBy(U.domain(F.col("url")).alias("domain")).agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars"))
 
@@ -324,10 +371,60 @@ def page_title(spark, sf):
     return articles(read(spark, sf, "pages")).select("page_id", "title")
 
 
-@query()
+unescape = lambda x: f"regexp_replace(replace({x}, '&quot;', chr(34)), '&amp;?', '&', 'g')"
+READABLE = f"""(length(x) >= 60 and not {NOISY} and not regexp_matches(lower(x), '{BOILERPLATE}') and len(string_split(x, ' ')) >= 10 and len(list_filter(string_split(x, ' '), lambda w: length(w) > 20)) <= 2)"""
+ARTICLE = f"""g0 as (select page_id, url, html, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as art, {norm("replace(replace(replace(regexp_extract(html, '<h1[^>]*>([^<]*)', 1), '&quot;', chr(34)), '&middot;', '·'), '&amp;', '&')")} as title from pages),
+g1 as (select page_id, unnest(string_split(art, '<p>')[2:]) as piece, generate_subscripts(string_split(art, '<p>')[2:], 1) as pos from g0),
+g2 as (select page_id, pos, {unescape("regexp_replace(split_part(piece, '</p>', 1), '<[^>]*>', '', 'g')")} as x from g1), g3 as (select page_id, pos, {SAN} as x from g2),
+g4 as (select page_id, list(x order by pos) as xs from g3 where {READABLE} group by page_id),
+g5 as (select page_id, array_to_string(xs[1:18], ' ') as x, array_to_string(xs[1:20], ' ') as y from g4),
+g6 as (select page_id, y as x, case when length(x) > 200 and len({toks('x')}) >= 80 and not {NOISY} then x end as main from g5),
+g7 as (select page_id, coalesce(main, case when not {NOISY} then x else '' end) as body, case when main is not null then 'Paragraph extraction (article p)' when length(x) > 200 and not {NOISY} then 'Readable paragraph fallback' else 'Body paragraph fallback' end as method from g6),
+h as (select g0.page_id as doc_id, null as lang, url, title, title as raw, coalesce(body, '') as body, coalesce(method, 'No readable article body found') as method from g0 left join g7 on g0.page_id = g7.page_id)"""
+
+
+@query(f"with {ARTICLE} select doc_id as page_id, title, body, method from h")
+def page_articles(spark, sf):
+    return articles(read(spark, sf, "pages")).select("page_id", "title", "body", "method")
+
+
+@query(rf"""with {ARTICLE}, {PREP}, {SCORE}, kt as (select doc_id, {toks("title || ' ' || body")} as w from h), ke as (select doc_id, unnest(w) as tok, generate_subscripts(w, 1) as pos from kt),
+kc as (select doc_id, tok, count(*) as n, min(pos) as f from ke where length(tok) > 3 and not list_contains({sql_list(STOPWORDS)}, tok) group by all), kr as (select *, row_number() over (partition by doc_id order by n desc, f) as r from kc),
+k as (select doc_id, string_agg(tok, ' ' order by r) as phrases from kr where r <= 8 group by doc_id),
+ne as (select doc_id, list_filter(list_transform(regexp_extract_all(title || '. ' || substr(body, 1, 2200), '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,2}})\b'), lambda x: {norm('x')}), lambda x: length(x) > 2 and not regexp_matches(x, '^The$|This$|That$|And$|But$')) as xs from h),
+nu as (select doc_id, unnest(xs) as x, generate_subscripts(xs, 1) as pos from ne), ng as (select doc_id, x, min(pos) as pos from nu group by all), nr as (select *, row_number() over (partition by doc_id order by pos) as r from ng),
+n as (select doc_id, string_agg(x, ' | ' order by r) as nouns from nr where r <= 12 group by doc_id),
+sg as (select doc_id, list_filter({SENT}, lambda x: not {NOISY}) as good from h), sc as (select *, list_filter(good, lambda x: regexp_matches(lower(x), '{CUES}')) as cued from sg)
+select h.doc_id as page_id, h.url, h.title as headline, h.title <> '' as headline_extracted, score, {VERDICT} as verdict, case when score >= 70 then 'risky' when score >= 40 then 'warning' else 'safe' end as bucket, 100 - score as legitimacy_confidence_score, {SUMMARY} as summary,
+  case when substr(h.body, 1, 300) = '' then 'Body text was unavailable.' else substr(h.body, 1, 300) end as body_snippet, {URL_HOST} as source_domain, method as extraction_method, len({toks('h.title')}) as headline_word_count, len({toks('h.body')}) as word_count,
+  greatest(1, round(len({toks('h.body')}) / 220.0)::int) as estimated_read_time_minutes, {count('h.body', r'\b\d+(?:\.\d+)?%?\b')} as numeric_claim_count, gap_points, hook_points, coalesce(phrases, '') as key_phrases, coalesce(nouns, '') as named_entities,
+  array_to_string((case when len(cued) > 0 then cued else good end)[1:4], ' | ') as supporting_sentences, similarity as cosine_similarity_score, polarity as sentiment_polarity, 'Not available' as published_at, 'Not available' as meta_description, '' as authors
+from h join s on s.doc_id = h.doc_id join sc on sc.doc_id = h.doc_id left join k on k.doc_id = h.doc_id left join n on n.doc_id = h.doc_id""")
 def analyze_pages(spark, sf):
-    keep = "page_id url title method score verdict bucket signals named_entities supporting_sentences word_count numeric_claim_count source_domain body_snippet published_at authors meta_description".split()
-    return report.analyze(read(spark, sf, "pages")).select(*keep)
+    d = report.analyze(read(spark, sf, "pages"))
+    texts = {c: F.array_join(c, sep) for c, sep in (("key_phrases", " "), ("named_entities", " | "), ("supporting_sentences", " | "), ("authors", ", "))}
+    d = d.withColumns(texts).withColumns({"gap_points": F.col("score_breakdown.semantic_gap_points"), "hook_points": F.col("score_breakdown.hook_points")})
+    keep = """page_id url headline headline_extracted score verdict bucket legitimacy_confidence_score summary body_snippet source_domain extraction_method headline_word_count word_count estimated_read_time_minutes
+      numeric_claim_count gap_points hook_points key_phrases named_entities supporting_sentences cosine_similarity_score sentiment_polarity published_at meta_description authors"""
+    return d.select(*keep.split())
+
+
+SECOND = f"""g as (select page_id, url, {norm(unescape("replace(regexp_extract(html, '<title>([^<]*)', 1), '&middot;', '·')"))} as headline, {norm(unescape("regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')"))} as body from pages)"""
+
+
+@query(f"with {SECOND} select page_id, headline, body, case when length(body) < 80 then 'Could not extract enough article body text.' end as error from g")
+def second_articles(spark, sf):
+    d = html.second_articles(read(spark, sf, "pages"))
+    return d.select("page_id", "headline", "body", html.body_error(F.col("body"))["message"].alias("error"))
+
+
+@query(rf"""with {SECOND}, h as (select page_id as doc_id, url, headline, case when headline = '' then 'Article from ' || coalesce(nullif(trim({NETLOC}), ''), 'source') else headline end as title, body from g), {PREP}, {COS}, {SEMANTIC}
+select h.doc_id as page_id, h.title as headline, headline <> '' as headline_extracted, score as composite_sensationalism_score, verdict, {SEM_SUMMARY} as summary, substr(h.body, 1, 420) || case when length(h.body) > 420 then '...' else '' end as body_snippet, {NETLOC} as source_domain,
+  {count('h.body', r'[\p{L}\p{N}_]+'.replace('{L}', '{{L}}').replace('{N}', '{{N}}'))} as word_count, greatest(1, round_even({count('h.body', r'[\p{L}\p{N}_]+'.replace('{L}', '{{L}}').replace('{N}', '{{N}}'))} / 220.0, 0)::int) as estimated_read_time_minutes,
+  {count("h.title || ' ' || substr(h.body, 1, 1800)", r'\b\d+(?:[.,]\d+)?\b')} as numeric_claim_count from h join z on z.doc_id = h.doc_id""".replace("{{", "{").replace("}}", "}"))
+def analyze_pages_semantic(spark, sf):
+    keep = "page_id headline headline_extracted composite_sensationalism_score verdict summary body_snippet source_domain word_count estimated_read_time_minutes numeric_claim_count"
+    return report.analyze_semantic(read(spark, sf, "pages")).select(*keep.split())
 
 
 # ---- traffic --------------------------------------------------------------------------------------------------------------
@@ -351,3 +448,26 @@ f as (select user_id, event_id, rn, us + 900000000 as expires, false as hit from
 select user_id, event_id, hit from f""")
 def ttl_cache(spark, sf):
     return traffic.ttl_cache(read(spark, sf, "events"), "user_id", "ts", "event_id")
+
+
+@query("""with recursive e as (select event_type, event_id, epoch_us(ts) as us, row_number() over (partition by event_type order by ts, event_id) as rn from events),
+f as (select event_type, event_id, rn, us + 900000000 as expires, false as hit from e where rn = 1
+  union all select e.event_type, e.event_id, e.rn, case when e.us <= f.expires then f.expires else e.us + 900000000 end, e.us <= f.expires from f join e on e.event_type = f.event_type and e.rn = f.rn + 1)
+select event_type, event_id, hit from f""")
+def robots_cache(spark, sf):
+    """Rules kept by origin; here the event type stands for it."""
+    return traffic.ttl_cache(read(spark, sf, "events"), "event_type", "ts", "event_id")
+
+
+@query("""with recursive e as (select user_id, event_id, event_type as k, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+f as (select user_id, event_id, rn, [{'k': k, 'e': us + 172800000000}] as held, false as hit from e where rn = 1
+  union all select user_id, event_id, rn, case when hit then list_concat(rest, mine) else list_concat(rest[greatest(1, len(rest) - 0):], [{'k': k, 'e': us + 172800000000}]) end, hit
+  from (select e.user_id, e.event_id, e.rn, e.k, e.us, list_filter(f.held, lambda x: x.k <> e.k) as rest, list_filter(f.held, lambda x: x.k = e.k and e.us <= x.e) as mine, len(list_filter(f.held, lambda x: x.k = e.k and e.us <= x.e)) > 0 as hit from f join e on e.user_id = f.user_id and e.rn = f.rn + 1))
+select user_id, event_id, hit from f""")
+def lru_cache(spark, sf):
+    """One cache of two entries per user, of two days each, so that both bounds bind."""
+    return traffic.lru_cache(read(spark, sf, "events"), "user_id", "event_type", "ts", "event_id", 172_800_000, 2)
+
+
+QUERIES |= cases.QUERIES
+ORACLE_SQL |= cases.ORACLE_SQL

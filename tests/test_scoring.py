@@ -67,5 +67,36 @@ def test_enrichment(spark):
     d = spark.createDataFrame([(1, "Great Council meets", "The Mayor of New York said so. " + BODY), (2, "", "")], "id int, title string, body string")
     r = d.select(enrich.proper_nouns(F.col("title"), F.col("body")).alias("e"), enrich.supporting_sentences(F.col("body")).alias("s")).collect()
     assert list(r[0].e)[:3] == ["Great Council", "The Mayor", "New York"] and "The" not in r[0].e and 1 <= len(r[0].s) <= 4 and list(r[1].e) == []
-    k = {r["id"]: list(r["key_phrases"]) for r in enrich.key_phrases(d, "id", F.col("body")).collect()}
+    k = {r["id"]: list(r["key_phrases"]) for r in d.select("id", enrich.key_phrases(F.col("body")).alias("key_phrases")).collect()}
     assert k[2] == [] and k[1][0] == "said" and len(k[1]) == 8
+
+
+def test_numbers_with_fixed_places(spark):
+    """By the exact binary value, against Python's and, for ties, rounding up."""
+    values = [0.0375, 0.5625, 0.0625, -0.0625, 0.1235, 2.0005, 1.0, -0.0001, 0.0, 0.9995, 1 / 3, 0.0125, 0.4375]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").select(T.fixed(F.col("x")).alias("up"), T.fixed(F.col("x"), even=True).alias("even")).collect()
+    from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
+
+    for x, r in zip(values, got, strict=True):
+        assert (r.up, r.even) == tuple(str(Decimal(x).quantize(Decimal("0.001"), how)) for how in (ROUND_HALF_UP, ROUND_HALF_EVEN))
+
+
+def test_overlap_sentences_in_the_row(spark):
+    body = "The town council met on Tuesday and said so. Nothing else of note happened in the whole long week! The budget of the council was approved by all of them? Short. The council and the budget were in the news again and again."
+    d = spark.createDataFrame([(1, "Council approves budget", body), (2, "", None)], "id int, title string, body string")
+    rows = {}
+    for r in enrich.overlap_sentences(d, "id", "title", "body").orderBy("id", F.desc("points"), "pos").collect():
+        rows.setdefault(r.id, []).append(r.sentence)
+    got = {r.id: list(r.s or []) for r in d.select("id", enrich.overlap_list(F.col("title"), F.coalesce("body", F.lit(""))).alias("s")).collect()}
+    assert got == {1: rows[1], 2: []} and len(rows[1]) == 3
+
+
+def test_cosine_of_rows_and_columns(spark):
+    """The vectors as rows give the same cosine."""
+    from headlight.operators import semantic
+
+    d = spark.createDataFrame([(1, "water budget council", "the council voted on the water budget today"), (2, "water", "fire"), (3, "", "x"), (4, "same words", "same words")], "id int, title string, body string")
+    got = {r.id: r.c for r in d.select("id", semantic.hash_cosine(F.col("title"), F.col("body")).alias("c")).collect()}
+    a, b = semantic.hash_embedding(d, "id", "title"), semantic.hash_embedding(d, "id", "body").withColumnRenamed("weight", "other")
+    want = {r.id: r.c for r in a.join(b, ["id", "dim"]).groupBy("id").agg(F.round(F.sum(F.col("weight") * F.col("other")), 6).alias("c")).collect()}
+    assert got == {1: want[1], 2: want.get(2, 0.0), 3: 0.0, 4: 1.0}
