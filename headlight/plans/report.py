@@ -21,13 +21,14 @@ def _breakdown(parts: list[str], kind: str) -> Column:
 
 def analyze(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """The first engine's record per page, by the contract's names. Two Arrow passes (html and key phrases), no shuffle."""
-    d = lexical.score(articles(pages, html, url))
     title, body = F.col("title"), F.col("body")
+    # Key phrases come first: above native columns, an Arrow pass would have them all written out into one another.
+    d = lexical.score(articles(pages, html, url).withColumn("key_phrases", enrich.key_phrases(F.concat(title, F.lit(" "), body))))
     d = d.withColumns({
         "headline": title, "headline_extracted": title != "", "composite_sensationalism_score": F.col("score"), "legitimacy_confidence_score": F.col("confidence"),
         "signals": F.slice("signals", 1, 6), "source_domain": host(F.col(url)), "body_snippet": T.snippet(body), "extraction_method": F.col("method"),
         "headline_word_count": F.size(T.tokens(title)), "word_count": F.size(T.tokens(body)), "numeric_claim_count": T.numeric_claims(body),
-        "key_phrases": enrich.key_phrases(F.concat(title, F.lit(" "), body)), "named_entities": enrich.proper_nouns(title, body), "supporting_sentences": enrich.supporting_sentences(body),
+        "named_entities": enrich.proper_nouns(title, body), "supporting_sentences": enrich.supporting_sentences(body),
         "score_breakdown": _breakdown(["gap_points", "sentiment_points", "hook_points", "synergy_points"], "int"),
         "cosine_similarity_score": F.col("similarity"), "sentiment_polarity": F.col("polarity"), "engine": F.lit("node-heuristic"), "fetch_via": F.lit("direct fetch"),
     })
