@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import os
 import re
@@ -118,6 +121,15 @@ def most_frequent(df: DataFrame, column: str, item: str, limit: int) -> DataFram
     return rows.where(kept)
 
 
+def trim() -> None:
+    """Gives memory that an earlier stage left in this reused Python worker back to the system; some milliseconds, once a partition."""
+    _words.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def annotate(docs: DataFrame, column: str, fields: dict[str, pa.DataType], of) -> DataFrame:
     """docs with columns added: of(list of values) gives one sequence per field. Fields replace columns of their names."""
     ready(docs.sparkSession)
@@ -126,6 +138,7 @@ def annotate(docs: DataFrame, column: str, fields: dict[str, pa.DataType], of) -
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, from_arrow_type(t)) for k, t in fields.items())])
 
     def run(batches):
+        trim()
         for batch in batches:
             added = of(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, t in zip(added, fields.values(), strict=True))], names=[*batch.schema.names, *fields])
@@ -271,7 +284,7 @@ class WordTokenizer(dict):
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    _words.clear()  # a reused worker holds one kind of word memory at a time
+    trim()  # a reused worker holds one kind of word memory at a time
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headlight.llm.common import annotate, components, drop, most_frequent, ready, shingles, small, table
+from headlight.llm.common import annotate, components, drop, most_frequent, ready, shingles, small, table, trim
 
 SEEDS = 8
 HOT, HOT_LEAST, FLUSH, BLOCK = 100_000, 64, 1_000_000, 1_000_000
@@ -64,6 +64,7 @@ def sketch(docs: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     """A row per document, and rows without n for shingles that are frequent within some flush of a partition."""
 
     def run(batches):
+        trim()
         held: dict[int, np.ndarray] = {}
         size = 0
 
@@ -119,6 +120,7 @@ def block_entries(docs: DataFrame, bits: int, hot, k: int, seed: int) -> DataFra
     """(block, entries) of each class once per flush; entries of hot shingles go by class, to negative blocks."""
 
     def run(batches):
+        trim()
         held: dict[int, np.ndarray] = {}
         size, shift = 0, np.uint64(64 - bits)
 
