@@ -284,7 +284,8 @@ class WordTokenizer(dict):
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    trim()  # a reused worker holds one kind of word memory at a time
+    if _words or path not in _tokenizers:
+        trim()  # a reused worker holds one kind of word memory at a time
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]

@@ -31,16 +31,16 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint32(2654435761)) >> np.uint32(14)
 
 
-def _frequent(seq: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent pairs as 32-bit keys, ascending; and the key at each place."""
-    keys = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
-    rough = _slot(keys)
-    big = np.bincount(rough, minlength=1 << 18) >= least
-    found, counts = np.unique(keys[big[rough]], return_counts=True)
-    found, counts = found[counts >= least], counts[counts >= least]
+def _frequent(keys: np.ndarray, slots: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The most frequent pairs as 32-bit keys, ascending."""
+    found = np.sort(keys[(np.bincount(slots, minlength=1 << 18) >= least)[slots]])
+    cuts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(cuts, len(found)))
+    big = counts >= least
+    found, counts = found[cuts[big]], counts[big]
     if len(found) > most:
-        found = found[np.argsort(-counts, kind="stable")[:most]]
-    return np.sort(found), keys
+        found = np.sort(found[np.argsort(-counts, kind="stable")[:most]])
+    return found
 
 
 def compress(ids: np.ndarray, least: int = 4, first: int = FIRST_RULE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,23 +52,33 @@ def compress(ids: np.ndarray, least: int = 4, first: int = FIRST_RULE) -> tuple[
     rules = np.zeros((0, 2), np.uint16)
     lengths = np.zeros(0, np.int64)
     while len(seq) > 1 and (room := SYMBOLS - first - len(rules)) > 0:
-        found, keys = _frequent(seq, least, room * 2 // 3 if room > 1024 else room)
+        keys = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
+        slots = _slot(keys)
+        found = _frequent(keys, slots, least, room * 2 // 3 if room > 1024 else room)
         if not len(found):
             break
         slot = np.full(1 << 18, -1, np.int32)  # of two pairs in one slot the other waits for a later pass
-        slot[_slot(found)] = np.arange(len(found))
-        rank = slot[_slot(keys)]
+        slot[_slot(found)] = np.arange(len(found), dtype=np.int32)
+        rank = slot[slots]
         at = np.flatnonzero(rank >= 0)
-        at = at[found[rank[at]] == keys[at]]
         rank = rank[at]
+        same = found[rank] == keys[at]
+        at, rank = at[same], rank[same]
         # Of a run of overlapping pairs every second one counts, from its first.
-        run = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
-        odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) & 1
-        at, rank = at[odd == 0], rank[odd == 0]
-        used, rank = np.unique(rank, return_inverse=True)
+        near = np.flatnonzero(np.diff(at) == 1) + 1
+        if len(near):
+            run = np.concatenate(([True], np.diff(near) > 1))  # where runs of places that follow another begin
+            begins = near[run] - 1
+            step = near - np.repeat(begins, np.diff(np.append(np.flatnonzero(run), len(near))))
+            keep = np.ones(len(at), bool)
+            keep[near[step & 1 == 1]] = False
+            at, rank = at[keep], rank[keep]
+        is_used = np.bincount(rank, minlength=len(found)) > 0
+        used = np.flatnonzero(is_used)
+        number = (np.cumsum(is_used) - 1 + first + len(rules)).astype(np.uint16)
         pairs = np.stack([found[used] >> np.uint32(16), found[used] & np.uint32(0xFFFF)], axis=1)
         size = np.concatenate([np.ones(first, np.int64), lengths])
-        seq[at] = first + len(rules) + rank
+        seq[at] = number[rank]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
@@ -85,10 +95,14 @@ class Grammar:
         self.start = np.concatenate([np.arange(first, dtype=np.int64), first + np.cumsum(lengths) - lengths])
         self.flat = np.empty(first + int(lengths.sum()), np.uint16)
         self.flat[:first] = np.arange(first)
-        for i, (a, b) in enumerate(rules.astype(np.int64).tolist()):
-            at, n, m = self.start[first + i], self.length[a], self.length[b]
-            self.flat[at : at + n] = self.flat[self.start[a] : self.start[a] + n]
-            self.flat[at + n : at + n + m] = self.flat[self.start[b] : self.start[b] + m]
+        done, last = 0, rules.max(axis=1).astype(np.int64) if len(rules) else np.zeros(0, np.int64)
+        while done < len(rules):  # all rules that refer to finished ones alone, which are those of one pass at least
+            open_ = np.flatnonzero(last[done:] >= first + done)
+            until = done + int(open_[0]) if len(open_) else len(rules)
+            at = int(self.start[first + done])
+            out = self.expand(rules[done:until].reshape(-1))
+            self.flat[at : at + len(out)] = out
+            done = until
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         n = self.length[symbols]
