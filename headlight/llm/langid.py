@@ -12,8 +12,6 @@ empty result.
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -23,8 +21,8 @@ from pyspark.sql import functions as F
 
 from headlight.llm.common import annotate, most_frequent, ready, table
 
-#: Runs of letters: `\w` also has numerals that are no digits.
-WORD = re.compile(r"[^\W\d_%s]+" % "".join(c for c in re.findall(r"[^\W\d_]", "".join(map(chr, range(sys.maxunicode + 1)))) if not unicodedata.category(c).startswith("L")))
+#: Runs of letters and of numerals that are no digits; `letters` parts them.
+WORD = re.compile(r"[^\W\d_]+")
 CELLS, MOST_LANGS = 8_000_000, 10_000
 LONGEST = 4
 FLUSH = 120_000
@@ -32,6 +30,14 @@ COUNTS = "lang string, item string, n long"
 COUNTS_ARROW = {"lang": pa.string(), "item": pa.string(), "n": pa.int64()}
 
 
+def letters(text: str) -> list[str]:
+    """Runs of letters (category L) of the lower-cased text."""
+    found = WORD.findall(text.lower())
+    if "".join(found).isalpha():
+        return found
+    return [w for x in found for w in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
+
+
 def _emit(counts: dict) -> pa.RecordBatch:
     rows = [(lang, item, n) for lang, c in counts.items() for item, n in c.items()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(COUNTS_ARROW.values())], names=list(COUNTS_ARROW))
@@ -43,7 +49,7 @@ def _count_words(batches):
         for text, lang in zip(batch.column(0), batch.column(1), strict=True):
             if lang not in counts:
                 counts.setdefault(lang.as_py(), Counter())
-            counts[lang.as_py()].update(WORD.findall(text.as_py().lower()))
+            counts[lang.as_py()].update(letters(text.as_py()))
         if sum(map(len, counts.values())) > FLUSH:
             yield _emit(counts)
             counts = {}
@@ -116,7 +122,7 @@ class Model:
         return self.rows[self.at[word]]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = WORD.findall(text.lower()) if text else []
+        found = letters(text) if text else []
         if not found or not self.langs:
             return "und", 0.0
         try:
