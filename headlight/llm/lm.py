@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from headlight.llm.common import ODD, mix, most_frequent, ready, table, words
+from headlight.llm.common import ODD, mix, most_frequent, ready, table, trim, words
 
 STRENGTH, FLUSH = 32.0, 150_000
 #: Bytes of text by chunk of documents and by block of keys.
-CHUNK, BLOCK = 12 << 20, 16 << 20
+CHUNK, BLOCK = 8 << 20, 6 << 20
 #: The low two bits of a key.
 PAIR, WORD, BEFORE = map(np.uint64, range(3))
 START = np.uint64(0x2545F4914F6CDD1D)
@@ -78,11 +78,23 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
-def _plain(data: bytes, kind: type) -> np.ndarray:
+def _plain(data: bytes | memoryview, kind: type | np.dtype) -> np.ndarray:
     n = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(n, -1).T).reshape(-1).view(kind)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Their width in bytes, the least that holds them all, and their planes."""
+    most = int(counts.max(initial=0))
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + _planes(counts.astype(kind))
+
+
+def _unpacked(data: pa.Scalar) -> np.ndarray:
+    view = memoryview(data.as_buffer())
+    return _plain(view[1:], np.dtype(f"u{view[0]}"))
+
+
 def _key(x: np.ndarray, kind: np.uint64) -> np.ndarray:
     return x & ~np.uint64(3) | kind
 
@@ -96,18 +108,19 @@ class Chunk:
         numbers, found = Numbers(vocab), []
         for text in texts:
             w = words(text.as_py())
-            found.append(np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)))
+            found.append(np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)))
         self.lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.word = np.concatenate([*found, np.zeros(0, np.int64)])
+        self.word = np.concatenate([*found, np.zeros(0, np.int32)])
         del found
         n = self.n_words = len(numbers)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, n)
         hashes = np.append(hashes, START)
-        self.before = np.concatenate(([n], self.word[:-1])) if len(self.word) else self.word
+        self.before = np.concatenate((np.array([n], np.int32), self.word[:-1])) if len(self.word) else self.word
         ends = np.cumsum(self.lengths)
         self.starts = (ends - self.lengths)[self.lengths > 0]
         self.before[self.starts] = n
-        codes, self.pair = np.unique(self.before * (n + 1) + self.word, return_inverse=True)
+        codes, self.pair = np.unique(self.before.astype(np.int64) * (n + 1) + self.word, return_inverse=True)
+        self.pair = self.pair.astype(np.int32)
         self.of = codes // (n + 1), codes % (n + 1)
         pairs = mix(mix(hashes[self.of[0]]) * np.uint64(ODD[0]) + hashes[self.of[1]])
         keys = np.concatenate([_key(pairs, PAIR), _key(mix(hashes[:n]), WORD), _key(mix(hashes), BEFORE)])
@@ -121,36 +134,52 @@ class Chunk:
         parts = [(self.pair, len(self.of[0])), (self.word, n), (self.before, n + 1)]
         return np.concatenate([np.bincount(x[at], minlength=m) for x, m in parts])[self.order].astype(np.uint32)
 
-    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How often each token's pair, word and word before occur in its own text."""
-        text = np.repeat(np.arange(len(self.lengths)), self.lengths)
-
-        def count(x: np.ndarray, m: int) -> np.ndarray:
-            _, at, n = np.unique(text * m + x, return_inverse=True, return_counts=True)
-            return n[at]
-
-        return count(self.pair, max(1, len(self.of[0]))), count(self.word, self.n_words + 1), count(self.before, self.n_words + 1)
+    def parts(self, most: int = 150_000):
+        """(first text, past text) of runs of texts with about so many tokens."""
+        ends = np.cumsum(self.lengths)
+        i = 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+            yield i, j
+            i = j
 
-    def means(self, told: np.ndarray, total: int, size: int, less: np.ndarray | None = None, own=None, strength: float = STRENGTH) -> np.ndarray:
-        """Mean -log p of the tokens of each text that has some: pair counts with a prior of `strength` on one-word shares.
+    def means(self, told: list[np.ndarray], totals: list[int], size: int, flags: np.ndarray | None, strength: float = STRENGTH) -> list[np.ndarray]:
+        """Mean -log p of each text's tokens by each model: pair counts with a prior of `strength` on one-word shares; 0 without tokens.
 
-        less: the texts whose own counts (`own`) are taken off.
+        flags: which texts the first model counted; the second counted the others. Each text's own counts are taken off the model that has them.
         """
-        if not len(self.starts):
-            return np.zeros(0)
         n, m = self.n_words, len(self.of[0])
-        c = np.empty(len(self.order))
-        c[self.order] = told
-        pair, word, before = c[:m], c[m : m + n], c[m + n :]
-        one = (word + 1.0) / (total + size)
-        known = -np.log((pair + strength * one[self.of[1]]) / (before[self.of[0]] + strength))
-        losses = known[self.pair]
-        if less is not None and (at := np.flatnonzero(np.repeat(less, self.lengths))).size:
-            p, w, b = (x[at] for x in own)
-            rest = total + size - np.repeat(self.lengths, self.lengths)[at]
-            one = (word[self.word[at]] - w + 1.0) / rest
-            losses[at] = -np.log((pair[self.pair[at]] - p + strength * one) / (before[self.before[at]] - b + strength))
-        return np.add.reduceat(losses, self.starts) / self.lengths[self.lengths > 0]
+        out, models = [], []
+        for counts, total in zip(told, totals, strict=True):
+            c = np.empty(len(self.order))
+            c[self.order] = counts
+            pair, word, before = c[:m], c[m : m + n], c[m + n :]
+            models.append((pair, word, before, total + size, -np.log((pair + strength * (word[self.of[1]] + 1.0) / (total + size)) / (before[self.of[0]] + strength))))
+            out.append(np.zeros(len(self.lengths)))
+        ends = np.cumsum(self.lengths)
+        for i, j in self.parts():  # the arrays below are as long as a part's tokens
+            a, b, lengths = int(ends[i] - self.lengths[i]), int(ends[j - 1]), self.lengths[i:j]
+            if a == b:
+                continue
+            p, w, f = self.pair[a:b], self.word[a:b], self.before[a:b]
+            text = np.repeat(np.arange(j - i), lengths)
+            if flags is not None:
+                own = [_own(text, x, k) for x, k in ((p, m), (w, n + 1), (f, n + 1))]
+                first = np.repeat(flags[i:j], lengths)
+            for k, (pair, word, before, total, known) in enumerate(models):
+                losses = known[p]
+                if flags is not None and (at := np.flatnonzero(first if k == 0 else ~first)).size:
+                    less = total - lengths[text[at]]
+                    one = (word[w[at]] - own[1][at] + 1.0) / less
+                    losses[at] = -np.log((pair[p[at]] - own[0][at] + strength * one) / (before[f[at]] - own[2][at] + strength))
+                out[k][i:j] = np.bincount(text, losses, j - i) / np.maximum(1, lengths)
+        return out
+
+
+def _own(text: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
+    """How often each x occurs in its own text."""
+    _, at, n = np.unique(text * most + x, return_inverse=True, return_counts=True)
+    return n[at]
 
 
 class Model(NamedTuple):
@@ -169,6 +198,7 @@ def _asked(docs: DataFrame, bits: int, vocab, target: str | None, asks: bool) ->
     """The distinct keys of each chunk by block: with counts if there is a target, and with the chunk if it asks for them."""
 
     def run(key, group):
+        trim()
         chunk = Chunk(group.column("text"), vocab.value)
         block = (chunk.keys >> np.uint64(64 - bits)).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
@@ -179,7 +209,7 @@ def _asked(docs: DataFrame, bits: int, vocab, target: str | None, asks: bool) ->
         rows = []
         for i, j in zip(cuts, cuts[1:]):
             deltas = np.diff(chunk.keys[i:j], prepend=np.uint64(0))
-            rows.append((int(block[i]), key[0].as_py() if asks else None, _planes(deltas), *(None if x is None else _planes(x[i:j]) for x in (t, b))))
+            rows.append((int(block[i]), key[0].as_py() if asks else None, _planes(deltas), *(None if x is None else _packed(x[i:j]) for x in (t, b))))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 2 + [pa.binary()] * 3, strict=True)], names=["block", "chunk", "keys", "t", "b"])
 
@@ -189,22 +219,25 @@ def _asked(docs: DataFrame, bits: int, vocab, target: str | None, asks: bool) ->
 
 def _tell(key, group):
     """The counts of one block's keys summed over all chunks and told to each that asks; and the block's totals."""
+    trim()
     asks = group.column("chunk").to_pylist()
     keys = [np.cumsum(_plain(x.as_py(), np.uint64), dtype=np.uint64) for x in group.column("keys")]
-    ends = np.cumsum([len(x) for x in keys])
+    sizes = [len(x) for x in keys]
     found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    at, ends = at.astype(np.int32), np.cumsum(sizes)
+    del keys
     sums = np.zeros((2, len(found)), np.int64)
     for i, end in enumerate(ends):
-        where = at[end - len(keys[i]) : end]
+        where = at[end - sizes[i] : end]
         for k, name in enumerate(("t", "b")):
-            if (x := group.column(name)[i].as_py()) is not None:
-                np.add.at(sums[k], where, _plain(x, np.uint32).astype(np.int64))
+            if (x := group.column(name)[i]).is_valid:
+                sums[k, where] += _unpacked(x).astype(np.int64)  # the keys of one chunk are distinct
     counted = sums.any(axis=0) & (found & np.uint64(3) == WORD)
     block, rows = key[0].as_py(), []
     for i, end in enumerate(ends):
         if asks[i] is not None:
-            where = at[end - len(keys[i]) : end]
-            rows.append((block, asks[i], _planes(sums[0, where]), _planes(sums[1, where]), None, None, None))
+            where = at[end - sizes[i] : end]
+            rows.append((block, asks[i], _packed(sums[0, where]), _packed(sums[1, where]), None, None, None))
     rows.append((block, None, None, None, int(counted.sum()), int(sums[0, counted].sum()), int(sums[1, counted].sum())))
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in TOLD.split(", ")])
@@ -241,18 +274,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     names = [c for c in rest.columns if c not in ("headlight_chunk", "headlight_target")]
 
     def run(group, replies):
+        trim()
         chunk = Chunk(group.column("text"), vocab.value)
         some = chunk.lengths > 0
         replies = replies.sort_by("block")
         flags = np.array(group.column("headlight_target").to_pylist(), bool) if own else None
-        mine = chunk.own() if own else None
-        cols = []
-        for name, total in zip(("t", "b"), totals, strict=True):
-            losses = np.zeros(len(group))
-            if some.any():
-                counts = np.concatenate([_plain(x.as_py(), np.int64) for x in replies.column(name)])
-                losses[some] = chunk.means(counts, total, size, None if flags is None else flags if name == "t" else ~flags, mine)
-            cols.append(losses)
+        counts = [np.concatenate([*(_unpacked(x).astype(np.int64) for x in replies.column(k)), np.zeros(0, np.int64)]) for k in ("t", "b")]
+        cols = chunk.means(counts, totals, size, flags) if some.any() else [np.zeros(len(group))] * 2
         added = [pa.array(chunk.lengths), *(pa.array(x, mask=~some) for x in cols), pa.array(cols[0] - cols[1])]
         return pa.table([*(group.column(c) for c in names), *added], names=[*names, *FIELDS])
 
