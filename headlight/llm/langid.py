@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headlight.llm.common import annotate, most_frequent, ready, table
+from headlight.llm.common import annotate, most_frequent, ready, table, trim
 
 #: Runs of letters and of numerals that are no digits; `letters` parts them.
 WORD = re.compile(r"[^\W\d_]+")
@@ -135,29 +135,26 @@ class Model:
         return self.langs[int(total.argmax())], float(1 / p.sum())
 
 
-def _rows(counts: list, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """counts: (lang, item, n, of all); log frequency with 0.1 added to each count."""
+def _rows(counts: pa.Table, total: dict[str, int], langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """counts: lang, item, n; log frequency with 0.1 added to each count."""
+    items = counts.column("item").combine_chunks().dictionary_encode()
+    n = np.full((max(1, len(items.dictionary)), len(langs)), 0.1)
     at = {x: i for i, x in enumerate(langs)}
-    ids: dict[str, int] = {}
-    for _, item, _, _ in counts:
-        ids.setdefault(item, len(ids))
-    n = np.full((max(1, len(ids)), len(langs)), 0.1)
-    totals = np.ones(len(langs))
-    for lang, item, c, total in counts:
-        n[ids[item], at[lang]] += c
-        totals[at[lang]] = total
-    rows = np.log(n / (totals + 0.1 * len(ids)))
-    return ids, (rows - rows.max(axis=1, keepdims=True)).astype(np.float32)
-
-
-def _kept(counts: DataFrame, limit: int) -> list:
-    """Counts of at most `limit` items, those with the largest share of a language, so bounded for the driver and the broadcast."""
+    lang = counts.column("lang").combine_chunks().dictionary_encode()
+    column = np.array([at[x] for x in lang.dictionary.to_pylist()], np.int64)[np.asarray(lang.indices)] if len(lang) else np.zeros(0, np.int64)
+    np.add.at(n, (np.asarray(items.indices), column), np.asarray(counts.column("n"), np.float64))
+    totals = np.array([total.get(x, 1) for x in langs], float)
+    rows = np.log(n / (totals + 0.1 * len(items.dictionary)))
+    return {x: i for i, x in enumerate(items.dictionary.to_pylist())}, (rows - rows.max(axis=1, keepdims=True)).astype(np.float32)
+
+
+def _kept(counts: DataFrame, limit: int) -> tuple[pa.Table, dict[str, int]]:
+    """Counts (in order of language and item) and totals by language of at most `limit` items, those with the largest share of a language, so bounded for the driver and the broadcast."""
     totals = table(counts.groupBy("lang").agg(F.sum("n").alias("total")))
     weighed = counts.join(F.broadcast(totals), "lang").withColumn("weight", F.ceil(F.col("n") * F.lit(2.0**40) / F.col("total")).cast("long"))
     items = table(weighed.groupBy("item").agg(F.max("weight").alias("weight"), F.collect_list(F.struct("lang", "n")).alias("by")))
-    rows = most_frequent(items, "weight", "item", limit).select("item", F.inline("by")).collect()
-    total = {r["lang"]: r["total"] for r in totals.collect()}
-    return sorted((r["lang"], r["item"], r["n"], total[r["lang"]]) for r in rows)
+    rows = most_frequent(items, "weight", "item", limit).select("item", F.inline("by")).toArrow()
+    return rows.sort_by([("lang", "ascending"), ("item", "ascending")]), {r["lang"]: r["total"] for r in totals.collect()}
 
 
 def fit(docs: DataFrame, max_words: int = 80_000, max_grams: int = 60_000) -> Model:
@@ -172,9 +169,10 @@ def fit(docs: DataFrame, max_words: int = 80_000, max_grams: int = 60_000) -> Mo
         return Model([], np.zeros(0), {}, np.zeros((1, 0)), {}, np.zeros((1, 0)))
     counted = table(use.mapInArrow(_count_words, COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n")))
     gram_counts = table(counted.mapInArrow(_count_grams, COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n")))
-    words, word_rows = _rows(_kept(counted, min(max_words, CELLS // len(langs))), langs)
-    ids, gram_rows = _rows(_kept(gram_counts, min(max_grams, CELLS // len(langs))), langs)
+    words, word_rows = _rows(*_kept(counted, min(max_words, CELLS // len(langs))), langs)
+    ids, gram_rows = _rows(*_kept(gram_counts, min(max_grams, CELLS // len(langs))), langs)
     n = np.array([per_lang[x] for x in langs], float)
+    trim()
     return Model(langs, np.log(n / n.sum()), words, word_rows, ids, gram_rows)
 
 
