@@ -4,10 +4,11 @@ Two interpolated bigram models share one vocabulary (all words of the documents
 others), order and smoothing. Words and pairs are counted over all target documents for one model and over all others for the
 other. Nothing of the models is collected: counts go by blocks of the key range, and each chunk of documents asks the blocks
 for the counts of its distinct words and pairs. `size` (a model parameter, by default unset) would keep only the most frequent
-words. A document that a model was fitted to is scored by it without its own counts (its copies' counts stay), so that both losses
+words. The target is a flag column, or the rows whose key is among `members`: then only keys and chunk numbers are joined, at every
+size alike, never texts, and each chunk is given its marked keys. A document that a model was fitted to is scored by it without its own counts (its copies' counts stay), so that both losses
 are those of a text that the model has not seen. score = target loss - background loss per token: the lower, the closer to the target.
 
-Null and empty texts have no tokens, null losses and score 0; a null flag counts as background; without target or background
+Null and empty texts have no tokens, null losses and score 0; a null flag or key counts as background; without target or background
 documents that model is uniform over the vocabulary; repeated rows count as often as they occur; extra columns are ignored; an
 empty table gives an empty result. Words and pairs are compared by 62-bit hashes.
 """
@@ -20,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,24 +189,45 @@ class Model(NamedTuple):
     docs: DataFrame
     target: str
     size: int | None
+    members: DataFrame | None
 
 
-def fit(docs: DataFrame, target: str, size: int | None = None) -> Model:
-    """docs: text and the flag column `target`. Counts are made when texts are scored, by all executors."""
-    return Model(None if size is None else vocabulary(docs, size), docs, target, size)
+def fit(docs: DataFrame, target: str, size: int | None = None, members: DataFrame | None = None) -> Model:
+    """docs: text and the flag column `target`; with members, `target` is a key column of both and members' keys are the target.
 
+    Counts are made when texts are scored, by all executors.
+    """
+    return Model(None if size is None else vocabulary(docs, size), docs, target, size, members)
 
-def _asked(docs: DataFrame, bits: int, vocab, target: str | None, asks: bool) -> DataFrame:
-    """The distinct keys of each chunk by block: with counts if there is a target, and with the chunk if it asks for them."""
 
-    def run(key, group):
+def _marks(chunked: DataFrame, model: Model) -> DataFrame | None:
+    """The target's keys in each chunk, at most one for each of its rows; a key whose rows are in many chunks is once in each."""
+    if model.members is None:
+        return None
+    key = F.col(f"`{model.target}`")
+    keys = chunked.select("headlight_chunk", key.alias("key")).distinct().join(model.members.select(key.alias("key")).distinct(), "key", "left_semi")
+    return table(keys.groupBy(F.col("headlight_chunk").alias("chunk")).agg(F.collect_list("key").alias("marked")))
+
+
+def _flags(values: pa.ChunkedArray, marks: pa.Table | None) -> np.ndarray:
+    """Which rows are the target's: those with a true flag, or with a marked key."""
+    if marks is None:
+        return np.array([x is True for x in values.to_pylist()], bool)
+    return np.array(pc.is_in(values, value_set=pc.list_flatten(marks.column("marked")).combine_chunks()).to_pylist(), bool)
+
+
+def _asked(docs: DataFrame, bits: int, vocab, model: Model | None, marks: DataFrame | None, asks: bool) -> DataFrame:
+    """The distinct keys of each chunk by block: with counts if there is a model, and with the chunk if it asks for them."""
+    counts = model is not None
+
+    def run(key, group, marked=None):
         trim()
         chunk = Chunk(group.column("text"), vocab.value)
         block = (chunk.keys >> np.uint64(64 - bits)).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
         t = b = None
-        if target is not None:
-            flags = np.array([x is True for x in group.column("target").to_pylist()], bool)
+        if counts:
+            flags = _flags(group.column("target"), marked)
             t, b = chunk.counts(flags), chunk.counts(~flags)
         rows = []
         for i, j in zip(cuts, cuts[1:]):
@@ -213,8 +236,11 @@ def _asked(docs: DataFrame, bits: int, vocab, target: str | None, asks: bool) ->
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 2 + [pa.binary()] * 3, strict=True)], names=["block", "chunk", "keys", "t", "b"])
 
-    few = docs.where("text is not null").select("headlight_chunk", "text", *([] if target is None else [F.col(target).alias("target")]))
-    return few.groupBy("headlight_chunk").applyInArrow(run, ASKED)
+    few = docs.where("text is not null").select("headlight_chunk", "text", *([] if model is None else [F.col(f"`{model.target}`").alias("target")]))
+    groups = few.groupBy("headlight_chunk")
+    if marks is None:
+        return groups.applyInArrow(lambda key, group: run(key, group), ASKED)
+    return groups.cogroup(marks.groupBy("chunk")).applyInArrow(run, ASKED)
 
 
 def _tell(key, group):
@@ -254,36 +280,43 @@ def _bytes(docs: DataFrame) -> int:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with n_tokens, target_loss, background_loss (per token) and score added."""
+    """docs with n_tokens, target_loss, background_loss (per token) and score added; and the flag target, if the model has members and was fitted to docs."""
     ready(docs.sparkSession)
     vocab = docs.sparkSession.sparkContext.broadcast(None if model.vocab is None else frozenset(model.vocab))
     own, n = model.docs is docs, _bytes(docs)
     n_fit = n if own else _bytes(model.docs)
     bits = max(1, ceil(log2(max(1, max(n, n_fit) / BLOCK))))
     chunked = _chunked(docs, n)
-    asked = _asked(chunked, bits, vocab, model.target if own else None, True)
+    marks = _marks(chunked, model) if own else None
+    asked = _asked(chunked, bits, vocab, model if own else None, marks, True)
     if not own:
-        asked = asked.union(_asked(_chunked(model.docs, n_fit), bits, vocab, model.target, False))
+        fitted = _chunked(model.docs, n_fit)
+        asked = asked.union(_asked(fitted, bits, vocab, model, _marks(fitted, model), False))
     told = table(asked.groupBy("block").applyInArrow(_tell, TOLD), "zstd")
     sums = told.agg(F.sum("words"), F.sum("t_total"), F.sum("b_total")).first()
     n_words, *totals = (x or 0 for x in sums)
     size = n_words + 1 if model.size is None else model.size
 
-    flag = F.coalesce(F.col(f"`{model.target}`").cast("boolean"), F.lit(False)) if own else F.lit(None).cast("boolean")
-    rest = chunked.withColumn("headlight_target", flag).drop(*FIELDS)
+    by_key = marks is not None
+    fields = {"target": "boolean"} | FIELDS if by_key else FIELDS
+    flag = F.col(f"`{model.target}`") if own else F.lit(None).cast("boolean")
+    rest = chunked.withColumn("headlight_target", flag).drop(*fields)
     names = [c for c in rest.columns if c not in ("headlight_chunk", "headlight_target")]
 
     def run(group, replies):
         trim()
         chunk = Chunk(group.column("text"), vocab.value)
         some = chunk.lengths > 0
-        replies = replies.sort_by("block")
-        flags = np.array(group.column("headlight_target").to_pylist(), bool) if own else None
+        marked = replies.filter(pc.is_null(replies.column("block"))) if by_key else None
+        replies = replies.filter(pc.is_valid(replies.column("block"))).sort_by("block")
+        flags = _flags(group.column("headlight_target"), marked) if own else None
         counts = [np.concatenate([*(_unpacked(x).astype(np.int64) for x in replies.column(k)), np.zeros(0, np.int64)]) for k in ("t", "b")]
         cols = chunk.means(counts, totals, size, flags) if some.any() else [np.zeros(len(group))] * 2
         added = [pa.array(chunk.lengths), *(pa.array(x, mask=~some) for x in cols), pa.array(cols[0] - cols[1])]
-        return pa.table([*(group.column(c) for c in names), *added], names=[*names, *FIELDS])
+        return pa.table([*(group.column(c) for c in names), *([] if marked is None else [pa.array(flags)]), *added], names=[*names, *fields])
 
-    schema = T.StructType([*rest.select(*(f"`{c}`" for c in names)).schema.fields, *(T.StructField(k, T.LongType() if t == "long" else T.DoubleType()) for k, t in FIELDS.items())])
+    schema = T.StructType([*rest.select(*(f"`{c}`" for c in names)).schema.fields, *(T.StructField(k, T.DataType.fromDDL(t)) for k, t in fields.items())])
     replies = told.where("chunk is not null").select("chunk", "block", "t", "b")
+    if by_key:
+        replies = replies.unionByName(marks, allowMissingColumns=True)
     return rest.groupBy("headlight_chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)

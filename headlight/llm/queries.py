@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headlight.llm import decontam, jaccard, langid, lm, media, packing, quality, repair, urlfilter, warc
-from headlight.llm.common import read, remainder, small
+from headlight.llm.common import read, remainder
 
 
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +20,9 @@ def op2_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target: documents whose label marks them as of good quality."""
-    good = read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").join(small(good), F.col("doc_id") == F.col("good_id"), "left")
-    docs = docs.select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))
-    return lm.score(docs, lm.fit(docs, "target")).drop("text")
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, lm.fit(docs, "doc_id", members=good)).drop("text")
 
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]

@@ -89,3 +89,29 @@ def test_no_word_is_unknown(spark):
     got = {r["doc_id"]: r for r in lm.score(fresh, model).collect()}
     for i, t in [(9, "w1 unseen w2"), (10, "w1 rare w2")]:
         assert np.allclose([got[i]["target_loss"], got[i]["background_loss"]], [brute(t, 0), brute(t, 1)], atol=1e-9)
+
+
+def test_members_are_as_flags(spark):
+    """Marked keys give what a flag column gives: null keys and texts, repeated keys in several chunks, unknown and repeated members."""
+    docs = fixtures.clashing(fixtures.docs(spark)).drop("target").repartition(3)
+    ids = [i for i in range(0, 60, 3)] + [9001, 9002, 9005, 9007, 123456789]
+    members = spark.createDataFrame([(i,) for i in [*ids, None, *ids]], "doc_id long")
+    flagged = docs.withColumn("flag", F.col("doc_id").isin(ids))
+    small, lm.CHUNK = lm.CHUNK, 50_000
+    try:
+        got = lm.score(docs, lm.fit(docs, "doc_id", members=members)).toPandas()
+        want = lm.score(flagged, lm.fit(flagged, "flag")).toPandas()
+        fresh = [lm.score(docs.select("doc_id", "text"), m).toPandas() for m in (lm.fit(docs, "doc_id", members=members), lm.fit(flagged, "flag"))]
+        none = lm.score(docs, lm.fit(docs, "doc_id", members=members.where("false")))
+        assert none.where("target").isEmpty() and none.count() == docs.count()
+        assert lm.score(fixtures.empty(docs), lm.fit(docs, "doc_id", members=members)).count() == 0
+    finally:
+        lm.CHUNK = small
+    order = ["doc_id", "text"]
+    got, want = got.sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True)
+    assert got.target.tolist() == [i in ids for i in got.doc_id] and got.columns.tolist().count("target") == 1
+    assert got.target.sum() > 20
+    fresh = [x.sort_values(order, ignore_index=True) for x in fresh]
+    for a, b in ((got, want), fresh):
+        for c in ("n_tokens", "target_loss", "background_loss", "score"):
+            assert np.allclose(a[c].astype(float), b[c].astype(float), equal_nan=True), c
