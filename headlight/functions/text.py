@@ -42,9 +42,14 @@ def bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def listed(words: list[str]) -> str:
+    """Words as literals of one expression: as Columns each would cost several calls to the JVM."""
+    return ", ".join(f"'{w}'" for w in words)
+
+
 def content_set(toks: Column) -> Column:
     """Distinct tokens that are no stop words, by first occurrence."""
-    return F.array_except(toks, F.array(*map(F.lit, STOPWORDS)))
+    return F.array_except(toks, F.expr(f"array({listed(STOPWORDS)})"))
 
 
 def content_bag(toks: Column) -> Column:

@@ -25,7 +25,7 @@ def similarity() -> Column:
 
 
 def polarity() -> Column:
-    pos, neg = F.size(F.filter("t_tok", lambda t: t.isin(POSITIVE))), F.size(F.filter("t_tok", lambda t: t.isin(NEGATIVE)))
+    pos, neg = (F.expr(f"size(filter(t_tok, t -> t in ({T.listed(words)})))") for words in (POSITIVE, NEGATIVE))
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (pos - neg) / F.greatest(F.lit(1), pos + neg)))
 
 

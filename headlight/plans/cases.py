@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from headlight.functions import text as T
 from headlight.functions import urls as U
 from headlight.operators import enrich
+from headlight.plans import workers
 from headlight.sources import feeds
 from headlight.sources.html import articles, second_articles, usable
 
@@ -25,7 +26,7 @@ def cases(columns: str, rows: list[tuple]):
 
     def keep(f):
         value = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = workers.query(f)
         ORACLE_SQL[f.__name__] = f"select * from (values {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)}) as t({columns})"
         return f
 

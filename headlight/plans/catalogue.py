@@ -9,7 +9,7 @@ from headlight.functions import text as T
 from headlight.functions import urls as U
 from headlight.functions.lexicons import BAIT, BOILERPLATE, CUES, DECEPTION, HOOKS, NEGATIVE, NOISE, POSITIVE, SIGNALS, STOPWORDS, TEASERS
 from headlight.operators import enrich, lexical, semantic, traffic
-from headlight.plans import cases, report
+from headlight.plans import cases, report, workers
 from headlight.sources import html
 from headlight.sources.html import articles
 
@@ -19,7 +19,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def keep(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = workers.query(f)
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -27,10 +27,22 @@ def query(sql: str | None = None):
     return keep
 
 
+#: Bytes of a table for each core up to which its rows are spread; larger tables have row groups for all cores.
+SPREAD = 16 << 20
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose rows cost much: a small one, which may be a single row group, is spread over all cores first."""
+    df, cores = read(spark, sf, name), spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    df = df.select(*columns)
+    return df.repartition(3 * cores) if size < SPREAD * cores else df
+
+
 TEMPLATES = {
     1: "You won't believe this SHOCKING secret", 2: "Top 10 miracle cure proof!!!", 3: "Is this the truth about hate?", 4: "GUARANTEED INSTANTLY EXPOSED", 5: "Best 5 benefits win hope",
     6: "Number 7 what happened next??", 7: "", 8: "Scam fraud warning crisis", 10: "Incredible must see 100% hoax",
@@ -40,7 +52,7 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def headlines(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, lang, raw (the first line), title (templated by id, so that every signal occurs) and body (the rest)."""
-    d = read(spark, sf, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    d = read_texts(spark, sf, "documents", "doc_id", "lang", "text").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("raw", F.substring_index("text", "\n", 1)).withColumn("body", F.expr("substring(text, length(raw) + 2)"))
     title, k = F.col("raw"), F.col("doc_id") % 12
     title = F.when(k == 9, F.concat("raw", F.lit("!"))).when(k == 11, F.translate("raw", LOWER, UPPER)).otherwise(title)
@@ -89,7 +101,7 @@ TEXT = "coalesce(text, '')"
 
 
 def _docs(spark: SparkSession, sf: str, **cols: Column) -> DataFrame:
-    d = read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = read_texts(spark, sf, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return d.select("doc_id", *[c.alias(k) for k, c in cols.items()])
 
 
@@ -130,7 +142,7 @@ LINES = f"with l0 as (select doc_id, unnest(string_split({TEXT}, chr(10))) as x
 @query(f"""{LINES} select doc_id, count(*) as n_lines, sum({NOISY}::int)::bigint as n_noisy, sum((length(x) >= 60 and not {NOISY} and not regexp_matches(lower(x), '{BOILERPLATE}') and len(string_split(x, ' ')) >= 10
   and len(list_filter(string_split(x, ' '), lambda w: length(w) > 20)) <= 2)::int)::bigint as n_readable from l group by doc_id""")
 def noise_and_readable_lines(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("x")).select("doc_id", T.sanitize(F.col("x")).alias("x"))
+    d = read_texts(spark, sf, "documents", "doc_id", "text").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("x")).select("doc_id", T.sanitize(F.col("x")).alias("x"))
     x = F.col("x")
     return d.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(T.is_noisy(x).cast("int")).alias("n_noisy"), F.sum(T.is_readable(x).cast("int")).alias("n_readable"))
 
@@ -224,7 +236,7 @@ c as (select doc_id, tok, count(*) as n, min(pos) as f from e where length(tok)
 r as (select *, row_number() over (partition by doc_id order by n desc, f) as r from c)
 select d.doc_id, coalesce(k.s, '') as key_phrases from documents d left join (select doc_id, string_agg(tok, ' ' order by r) as s from r where r <= 8 group by doc_id) k using (doc_id)""")
 def key_phrases(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.array_join(enrich.key_phrases(F.col("text")), " ").alias("key_phrases"))
+    return read_texts(spark, sf, "documents", "doc_id", "text").select("doc_id", F.array_join(enrich.key_phrases(F.col("text")), " ").alias("key_phrases"))
 
 
 @query(f"""with t as (select doc_id, {toks("substr(text, 1, 6000)")} as w from documents), e as (select doc_id, unnest(w) as tok, generate_subscripts(w, 1) as pos from t),
@@ -232,7 +244,7 @@ c as (select doc_id, tok, count(*) as n, min(pos) as f from e where length(tok)
 r as (select *, row_number() over (partition by doc_id order by n desc, f) as r from c)
 select d.doc_id, coalesce(k.s, '') as key_phrases from documents d left join (select doc_id, string_agg(tok, ' ' order by r) as s from r where r <= 8 group by doc_id) k using (doc_id)""")
 def body_phrases(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.array_join(enrich.body_phrases(F.col("text")), " ").alias("key_phrases"))
+    return read_texts(spark, sf, "documents", "doc_id", "text").select("doc_id", F.array_join(enrich.body_phrases(F.col("text")), " ").alias("key_phrases"))
 
 
 @query(rf"""with {HEAD}, e as (select doc_id, list_transform(regexp_extract_all(raw || '. ' || substr(body, 1, 2200), '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,2}})\b'), lambda x: {norm('x')}) as xs from h),
@@ -368,7 +380,7 @@ def url_guard(spark, sf):
 
 @query(f"""select page_id, {norm("replace(replace(replace(regexp_extract(html, '<h1[^>]*>([^<]*)', 1), '&quot;', chr(34)), '&middot;', '·'), '&amp;', '&')")} as title from pages""")
 def page_title(spark, sf):
-    return articles(read(spark, sf, "pages")).select("page_id", "title")
+    return articles(read_texts(spark, sf, "pages", "page_id", "url", "html")).select("page_id", "title")
 
 
 unescape = lambda x: f"regexp_replace(replace({x}, '&quot;', chr(34)), '&amp;?', '&', 'g')"
@@ -385,7 +397,7 @@ h as (select g0.page_id as doc_id, null as lang, url, title, title as raw, coale
 
 @query(f"with {ARTICLE} select doc_id as page_id, title, body, method from h")
 def page_articles(spark, sf):
-    return articles(read(spark, sf, "pages")).select("page_id", "title", "body", "method")
+    return articles(read_texts(spark, sf, "pages", "page_id", "url", "html")).select("page_id", "title", "body", "method")
 
 
 @query(rf"""with {ARTICLE}, {PREP}, {SCORE}, kt as (select doc_id, {toks("title || ' ' || body")} as w from h), ke as (select doc_id, unnest(w) as tok, generate_subscripts(w, 1) as pos from kt),
@@ -401,7 +413,7 @@ select h.doc_id as page_id, h.url, h.title as headline, h.title <> '' as headlin
   array_to_string((case when len(cued) > 0 then cued else good end)[1:4], ' | ') as supporting_sentences, similarity as cosine_similarity_score, polarity as sentiment_polarity, 'Not available' as published_at, 'Not available' as meta_description, '' as authors
 from h join s on s.doc_id = h.doc_id join sc on sc.doc_id = h.doc_id left join k on k.doc_id = h.doc_id left join n on n.doc_id = h.doc_id""")
 def analyze_pages(spark, sf):
-    d = report.analyze(read(spark, sf, "pages"))
+    d = report.analyze(read_texts(spark, sf, "pages", "page_id", "url", "html"))
     texts = {c: F.array_join(c, sep) for c, sep in (("key_phrases", " "), ("named_entities", " | "), ("supporting_sentences", " | "), ("authors", ", "))}
     d = d.withColumns(texts).withColumns({"gap_points": F.col("score_breakdown.semantic_gap_points"), "hook_points": F.col("score_breakdown.hook_points")})
     keep = """page_id url headline headline_extracted score verdict bucket legitimacy_confidence_score summary body_snippet source_domain extraction_method headline_word_count word_count estimated_read_time_minutes
@@ -414,7 +426,7 @@ SECOND = f"""g as (select page_id, url, {norm(unescape("replace(regexp_extract(h
 
 @query(f"with {SECOND} select page_id, headline, body, case when length(body) < 80 then 'Could not extract enough article body text.' end as error from g")
 def second_articles(spark, sf):
-    d = html.second_articles(read(spark, sf, "pages"))
+    d = html.second_articles(read_texts(spark, sf, "pages", "page_id", "url", "html"))
     return d.select("page_id", "headline", "body", html.body_error(F.col("body"))["message"].alias("error"))
 
 
@@ -424,7 +436,7 @@ select h.doc_id as page_id, h.title as headline, headline <> '' as headline_extr
   {count("h.title || ' ' || substr(h.body, 1, 1800)", r'\b\d+(?:[.,]\d+)?\b')} as numeric_claim_count from h join z on z.doc_id = h.doc_id""".replace("{{", "{").replace("}}", "}"))
 def analyze_pages_semantic(spark, sf):
     keep = "page_id headline headline_extracted composite_sensationalism_score verdict summary body_snippet source_domain word_count estimated_read_time_minutes numeric_claim_count"
-    return report.analyze_semantic(read(spark, sf, "pages")).select(*keep.split())
+    return report.analyze_semantic(read_texts(spark, sf, "pages", "page_id", "url", "html")).select(*keep.split())
 
 
 # ---- traffic --------------------------------------------------------------------------------------------------------------
